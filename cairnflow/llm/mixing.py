@@ -68,9 +68,10 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with taken (words the mix takes, repeats counted) and finish, its virtual finish time; documents not taken go."""
+    """docs with taken (words the mix takes, repeats counted) and finish, its virtual finish time; documents not taken go. Columns of these names are replaced."""
     plan = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("taken"), F.min("finish").alias("finish"))
-    return docs.join(plan, "doc_id").select(*docs.columns, "taken", "finish")
+    own = docs.drop("taken", "finish")
+    return own.join(plan.withColumnRenamed("doc_id", "_id"), own["doc_id"].eqNullSafe(F.col("_id"))).select(*(own[c] for c in own.columns), "taken", "finish")
 
 
 ORACLE = """
