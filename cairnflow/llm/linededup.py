@@ -103,15 +103,14 @@ def _small(a: str, b: str) -> int:
 
 
 def _keys(tau: int, min_chars: int):
-    import functools
-
-    plan = functools.lru_cache(1 << 14)(lambda n: tuple(probes(n, tau)))
-    own = functools.lru_cache(1 << 14)(lambda n: frozenset((n, i, at, size) for i, (at, size) in enumerate(segments(n, tau + 1))))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from functools import lru_cache
+
         from xxhash import xxh3_64_intdigest as digest
         from xxhash import xxh64_intdigest
 
+        plan = lru_cache(1 << 14)(lambda n: tuple(probes(n, tau)))
+        own = lru_cache(1 << 14)(lambda n: frozenset((n, i, at, size) for i, (at, size) in enumerate(segments(n, tau + 1))))
         for batch in batches:
             lines = {x for text in batch.column(0).to_pylist() if text for x in text.split("\n") if len(x) >= min_chars}
             keys, ids, marks = [], [], []

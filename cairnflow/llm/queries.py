@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, mixing, simhash, toxicity
+from . import decontaminate, embeddings, linededup, mixing, secrets, simhash, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_read(spark, sf_dir, "documents"))
 
@@ -33,5 +37,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_linededup, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination)}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op9_urls, op10_secrets)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE}

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .decontaminate import normal_words
 from .shared import durable, small_batches
 
-BITS, SAMPLE, MAX_WORDS, PASSES = 20, 5000, 20_000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+BITS, SAMPLE, MAX_WORDS, PASSES = 20, 8000, 20_000, 3
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 5.0, 1.0
 #: Odd multipliers of the multiply-shift hashes: words, pairs, pairs that skip a word.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
