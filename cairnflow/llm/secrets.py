@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-SAMPLE, MAX_CHARS, WINDOW, STEPS = 1500, 20_000, 24, 60
+SAMPLE, MAX_CHARS, WINDOW, WINDOWS, STEPS = 1000, 20_000, 24, 3000, 40
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -158,6 +158,7 @@ def _windows(texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[int], s
 def fit(texts: list[str]) -> Field | None:
     """Adagrad on the conditional likelihood of the windows, all at once; features seen in under 3 windows are left out."""
     windows = [w for w in _windows(texts) if len(w[0]) >= 2]
+    windows = windows[:: -(-len(windows) // WINDOWS)] if windows else []  # evenly, at most WINDOWS of them
     if not any(1 in tags for _, tags, _ in windows):
         return None
     counts: dict[str, int] = {}

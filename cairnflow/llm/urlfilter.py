@@ -1,7 +1,8 @@
 """URL filters: fixed rules first, then association rules mined by FP-growth over URL tokens.
 
-The verdicts of the fixed rules are the labels: their URLs' token sets with a verdict item go through FP-growth, and rules
-that conclude a verdict are kept above a confidence and a support. A URL that no fixed rule fits is matched through an inverted
+The fixed rules label the URLs: `block` where a blocking rule decides, `allow` elsewhere (a host nobody has blocked counts as
+allowed evidence). Token sets with their label item go through FP-growth, and rules that conclude a label are kept above a
+confidence and a support, so a combination blocks only if nearly all URLs that have it are blocked. A URL that no fixed rule fits is matched through an inverted
 index (token -> rules); of the rules all of whose tokens it has, the one with the highest confidence, then support, decides,
 and without one it is allowed.
 
@@ -54,7 +55,6 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:")).where(~F.exists("antecedent", lambda x: x.startswith("verdict:")))
     chosen = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("verdict"), "confidence", "support")
-    # a rule whose part concludes the same with no less confidence adds nothing: keep single tokens and what beats them
     return chosen.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\x01"), "verdict"))
 
 
@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("fits", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path")))
     rows = durable(rows.select("page_id", "host", "path", "fits", "items"))
-    labelled = rows.where("fits is not null and host <> ''").select("items", F.col("fits.verdict").alias("verdict"))
+    labelled = rows.where("host <> ''").select("items", F.coalesce("fits.verdict", F.lit("allow")).alias("verdict"))
     mined = durable(mine(labelled, support, confidence))
     index = mined.select("rule_id", F.size("antecedent").alias("needs"), F.explode("antecedent").alias("item"))
     open_ = rows.where("fits is null and host <> ''").select(F.xxhash64(F.array_join("items", "\x01")).alias("set"), "items").dropDuplicates(["set"])
