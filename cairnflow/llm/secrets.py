@@ -3,8 +3,8 @@
 Base spans come from the three patterns. The field is trained here on windows around base spans and elsewhere of a bounded
 sample (SAMPLE documents that hold a cue and SAMPLE others, first by a hash of the text, of at most MAX_CHARS code points). A token's features
 are its shape, length, character classes and word, those of both neighbours, and how much of the file looks like code.
-Weights are tables over token classes, so a text is scored by lookups. A token whose outside score leads by more than any
-change of transitions can win back is outside on the best path, so Viterbi runs exactly on what lies between such tokens.
+Weights are tables over token classes, so a text is scored by lookups. A token that no run of tags with a gain over
+outside can pass through is outside on the best path, so Viterbi runs on what lies between such tokens and is still exact.
 
 Base spans always stay. A decoded span is added as kind `crf` if it overlaps no base span and holds a token of 12 or more
 code points with a digit. Null and empty texts have no spans. Repeated rows each get a row; other columns are ignored; an empty table
@@ -45,20 +45,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Shapes(dict):
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = k = "a" if "a" <= ch <= "z" else "A" if "A" <= ch <= "Z" else "9" if "0" <= ch <= "9" else ch if ch in "\"'=:_-+/." else "u" if code > 127 else "p"
+        return k
+
+
+_SHAPES, _REPEAT, _PLAIN_HEX = _Shapes(), re.compile(r"(.)\1+"), re.compile("[0-9a-f]+")
+
+
 def token_features(token: str) -> tuple[str, ...]:
     """Shape, length, character classes, and the bare word if it is short."""
-    shape, last = [], ""
-    for ch in token[:64]:
-        k = "a" if "a" <= ch <= "z" else "A" if "A" <= ch <= "Z" else "9" if "0" <= ch <= "9" else ch if ch in "\"'=:_-+/." else "u" if ord(ch) > 127 else "p"
-        if k != last and len(shape) < 8:
-            shape.append(k)
-        last = k
+    shape = token[:64].translate(_SHAPES)
     core = token.strip("\"'=:;,.()[]{}<>#&%$*!|")
-    n = len(core)
-    size = sum(n >= x for x in (4, 8, 12, 16, 24, 40))
-    digits = sum(c.isdigit() for c in core[:256])
-    hexa = bool(core) and all(c in "0123456789abcdef" for c in core[:256])
-    return "s=" + "".join(shape), f"l={size}", f"d={bool(digits)}{hexa}{2 * digits > n}{size}", "w=" + (core.lower() if n < 12 and not digits else "")
+    n, digits = len(core), shape.count("9")
+    size = (n >= 4) + (n >= 8) + (n >= 12) + (n >= 16) + (n >= 24) + (n >= 40)
+    return "s=" + _REPEAT.sub(r"\1", shape)[:8], f"l={size}", f"d={_PLAIN_HEX.fullmatch(core) is not None}{min(digits, 1) + (2 * digits > min(n, 64))}{size}", "w=" + (core.lower() if n < 12 and not digits else "")
 
 
 class Field:
@@ -66,11 +69,14 @@ class Field:
 
     def __init__(self, number: dict[str, int], unary: np.ndarray, pairs: np.ndarray) -> None:
         self.number, self.unary, self.pairs = number, unary, pairs
-        self.slack = 2 * (pairs.max() - pairs.min())
+        stay = pairs[0, 0]
+        self.inner = pairs[1:, 1:].max() - stay
+        self.ends = max(0.0, pairs[0, 1:].max() - stay) + max(0.0, pairs[1:, 0].max() - stay) - self.inner
         self.cache: dict[str, int] = {}
         self.kinds: dict[tuple, int] = {}
         self.rows: list[np.ndarray] = []
-        self.table = np.zeros((0, 3, 3))
+        self.known = {n[1:] for n in number}
+        self.table, self.filled = np.zeros((256, 3, 3)), 0
 
     def classes(self, tokens: list[str]) -> np.ndarray:
         """Numbers of the tokens' classes: tokens with equal known features share one."""
@@ -80,7 +86,7 @@ class Field:
         for i, t in enumerate(tokens):
             k = cache.get(t)
             if k is None:
-                known = tuple(f for f in token_features(t) if any(p + f in self.number for p in "cpn"))
+                known = tuple(f for f in token_features(t) if f in self.known)
                 k = self.kinds.get(known)
                 if k is None:
                     k = self.kinds[known] = len(self.rows)
@@ -93,7 +99,10 @@ class Field:
     def scores(self, tokens: list[str], file: str) -> np.ndarray:
         c = self.classes(tokens)
         if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows)
+            self.table = np.concatenate((self.table, np.zeros((len(self.rows), 3, 3))))
+        for k in range(self.filled, len(self.rows)):
+            self.table[k] = self.rows[k]
+        self.filled = len(self.rows)
         e = self.table[c, 0].copy()
         e[1:] += self.table[c[:-1], 1]
         e[:-1] += self.table[c[1:], 2]
@@ -104,7 +113,11 @@ class Field:
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The best path of tags."""
         tags = np.zeros(len(e), np.int8)
-        open_ = np.flatnonzero(e[:, 0] - np.maximum(e[:, 1], e[:, 2]) <= self.slack)
+        # the most that a run of tags other than outside through a token can gain over outside: best sums up to it and from it
+        gain = np.maximum(e[:, 1], e[:, 2]) - e[:, 0] + self.inner
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        open_ = np.flatnonzero(most + self.ends >= -1e-9)
         if not len(open_):
             return tags
         cuts = np.flatnonzero(np.diff(open_) > 1) + 1
