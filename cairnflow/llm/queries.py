@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, linededup, mixing, secrets, simhash, toxicity, urlfilter
+from . import decontaminate, embeddings, licenses, linededup, mixing, pii, secrets, simhash, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(_read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
@@ -45,5 +53,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op9_urls, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE}
