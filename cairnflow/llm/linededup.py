@@ -203,8 +203,9 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     keyed = texts.select("text").mapInArrow(_keys(tau, min_chars), "key long, h long, mark long").repartition("key").sortWithinPartitions("key")
     pairs = durable(keyed.mapInArrow(_meet(tau), "a long, b long").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    contents = lines.join(ids, "h", "left_semi").groupBy("h", "c").agg(F.first("content").alias("content")).join(known, ["h", "c"]).select("h", "c", "first", "content")
-    contents = durable(contents)
+    wanted = known.join(ids, "h", "left_semi").select(F.col("h").alias("wh"), F.col("c").alias("wc"), "first")
+    there = lines["doc_id"].eqNullSafe(F.col("first.doc_id")) & (lines["line"] == F.col("first.line")) & (lines["h"] == F.col("wh")) & (lines["c"] == F.col("wc"))
+    contents = durable(lines.join(wanted, there).select("h", "c", "first", "content").dropDuplicates(["h", "c"]))
     both = pairs.join(contents.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("first").alias("first_a"), F.col("content").alias("line_a")), "a")
     both = both.join(contents.select(F.col("h").alias("b"), F.col("c").alias("c_b"), F.col("first").alias("first_b"), F.col("content").alias("line_b")), "b")
     later_a = F.col("first_a") > F.col("first_b")
