@@ -6,5 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..plans.views import run_sql
+from . import models, text
+from .sqlops import SQL
+
+
+def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, body)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(v) for k, v in SQL.items()} | text.QUERIES | models.QUERIES
+ORACLES: dict[str, str] = {k: v.replace("AS STRING", "AS VARCHAR") for k, v in SQL.items()} | text.ORACLES | models.ORACLES
