@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as no value, marks of wrongly decoded text, and words that carry no meaning in a title.
 UNKNOWN = ("", "unknown", "nan", "none")
@@ -79,7 +80,7 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_text(x: pd.Series) -> pd.Series:
     """Undoes up to two wrong decodings if that leaves fewer marks; white space collapsed."""
     import re
@@ -106,7 +107,7 @@ def fix_text(x: pd.Series) -> pd.Series:
     return x.map(fixed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(x: pd.Series) -> pd.Series:
     """Key for comparison: compatibility form, no marks, case folded, letters and digits only."""
     import unicodedata
@@ -114,7 +115,7 @@ def folded(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s).casefold() if c.isalnum() and not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_order(x: pd.Series) -> pd.Series:
     """Hex of the 8-byte BLAKE2b digest."""
     import hashlib
@@ -122,7 +123,7 @@ def stable_order(x: pd.Series) -> pd.Series:
     return x.map(lambda s: hashlib.blake2b((s or "").encode(), digest_size=8).hexdigest())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity."""
     import difflib

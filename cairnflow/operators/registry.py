@@ -11,9 +11,20 @@ from . import models, text
 from .sqlops import SQL
 
 
+def _portable(body: str) -> str:
+    """count_if(x) as a count of a CASE, which is a 64-bit number in every engine."""
+    while (at := body.find("count_if(")) >= 0:
+        end, depth = at + 9, 1
+        while depth:
+            depth += (body[end] == "(") - (body[end] == ")")
+            end += 1
+        body = f"{body[:at]}count(CASE WHEN {body[at + 9 : end - 1]} THEN 1 END){body[end:]}"
+    return body
+
+
 def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_sql(spark, sf_dir, body)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(v) for k, v in SQL.items()} | text.QUERIES | models.QUERIES
-ORACLES: dict[str, str] = {k: v.replace("AS STRING", "AS VARCHAR") for k, v in SQL.items()} | text.ORACLES | models.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(_portable(v)) for k, v in SQL.items()} | text.QUERIES | models.QUERIES
+ORACLES: dict[str, str] = {k: _portable(v).replace("AS STRING", "AS VARCHAR") for k, v in SQL.items()} | text.ORACLES | models.ORACLES

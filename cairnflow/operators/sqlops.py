@@ -88,7 +88,7 @@ SQL: dict[str, str] = {
     "jaccard_affinity": f"{R}, p AS (SELECT user_id, item_id FROM ratings WHERE rating = 10), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY user_id) SELECT a.user_id, b.user_id AS other, count(*) AS common, round(count(*) * 1e0 / (max(x.n) + max(y.n) - count(*)), 6) AS jaccard FROM p a JOIN p b ON a.item_id = b.item_id AND a.user_id < b.user_id JOIN n x ON x.user_id = a.user_id JOIN n y ON y.user_id = b.user_id GROUP BY a.user_id, b.user_id HAVING count(*) >= 2",
     # state over events (T1 approximate, T8, C1)
     "latest_event": "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",
-    "session_windows": "SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT user_id, value, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS is_new FROM events) a) b GROUP BY user_id, session",
+    "session_windows": "SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT user_id, value, CAST(sum(is_new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS is_new FROM events) a) b GROUP BY user_id, session",
     "rate_limit_tumbling": "SELECT user_id, minute, n, n > 3 AS limited FROM (SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY user_id, date_trunc('minute', ts)) x",
     "rollup_events": "SELECT event_type, month, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT event_type, date_trunc('month', ts) AS month, value FROM events) x GROUP BY ROLLUP (event_type, month)",
     "request_truncation": f"{R} SELECT user_id, count_if(k <= 20) AS kept, count_if(k > 20) AS dropped FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS k FROM ratings) x GROUP BY user_id",

@@ -23,11 +23,12 @@ def strict_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def lenient_ratings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, one row with the numbers of malformed and out-of-range rows)."""
-    schema = T.StructType([*RATING.fields, T.StructField("_bad", T.StringType())])
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    ok = F.col("_bad").isNull() & F.col("rating").between(1, 10)
-    report = df.agg(F.count_if(F.col("_bad").isNotNull()).alias("malformed"), F.count_if(F.col("_bad").isNull() & ~F.coalesce(ok, F.lit(False))).alias("out_of_range"), F.count_if(ok).alias("good"))
-    return df.where(ok).drop("_bad"), report
+    raw = string_csv(spark, path, [f.name for f in RATING.fields])
+    df = raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RATING.fields))
+    whole = F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("rating").isNotNull()
+    ok = whole & F.col("rating").between(1, 10)
+    report = df.agg(F.count_if(~whole).alias("malformed"), F.count_if(whole & ~F.col("rating").between(1, 10)).alias("out_of_range"), F.count_if(ok).alias("good"))
+    return df.where(ok), report
 
 
 def string_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
