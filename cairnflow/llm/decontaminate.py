@@ -166,7 +166,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     spark = docs.sparkSession
     small_batches(spark)
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as the lowered pattern, on the text as it is
     out = docs
     for block in benchmark_blocks(benchmark, max_windows):
         known = spark.sparkContext.broadcast(NgramSet(block, window))
