@@ -7,7 +7,8 @@ A line is cut into TAU + 1 segments, so a line within TAU edits holds one of the
 segments and, for each length it may match, the substrings at the positions where a segment can stand (multi-match-aware
 windows), as hashes of (length, segment number, content). Lines that meet under a hash are filtered by the parity of their
 character counts (an edit flips at most two bits), and their texts are compared by a banded bit-parallel edit distance.
-The hashes are dealt once, sorted by key; a run keeps numbers only. Copies are merged before any comparison.
+The hashes are dealt once, sorted by key; a run keeps numbers only. Copies are merged before any comparison. Contents are
+fetched for the lines that met: a filter of bits, of a bounded size, keeps other lines out of that shuffle; a join decides.
 
 Nulls: a null text has no lines and stays null; a null doc_id orders after all others. Repeated rows of one doc_id are one
 document (first occurrence: the same line of any of them). Empty texts and tables stay so. Other columns are passed on.
@@ -26,6 +27,8 @@ from .shared import durable, small_batches
 
 TAU, MIN_CHARS, BLOCK = 2, 24, 2048
 _BUCKETS = 61
+#: Bits for each wanted line in the filter that goes before the shuffle of contents, and the most it has (16 MB).
+SPREAD, MOST_BITS = 16, 1 << 27
 
 
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
@@ -131,6 +134,40 @@ def _keys(tau: int, min_chars: int):
     return run
 
 
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Bits of the column h, one set for each value modulo the size; past MOST_BITS it lets more through, never less."""
+    bits = min(MOST_BITS, 1 << max(15, (SPREAD * wanted.count()).bit_length()))
+    at = F.pmod(F.col("h"), F.lit(bits)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _wanted(sent, min_chars: int):
+    """(doc_id, text) -> the lines (doc_id, line, h, content) whose hash the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        bits = sent.value
+        last = 8 * len(bits) - 1
+        for batch in batches:
+            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = [(i, x) for i, x in enumerate((cell.as_py() or "").split("\n")) if len(x) >= min_chars]
+                if not lines:
+                    continue
+                h = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for _, x in lines], np.uint64)
+                at = h & np.uint64(last)
+                ok = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                if len(ok):
+                    cols = pa.array([doc_id] * len(ok), pa.int64()), pa.array([lines[i][0] for i in ok], pa.int32()), pa.array(h[ok].view(np.int64)), pa.array([lines[i][1] for i in ok], pa.string())
+                    yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "line", "h", "content"])
+
+    return run
+
+
 def _meet(tau: int):
     """Sorted (key, h, mark) -> pairs of different lines, one an index entry and one a probe, whose parities allow tau edits."""
 
@@ -202,9 +239,11 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
 
     keyed = texts.select("text").mapInArrow(_keys(tau, min_chars), "key long, h long, mark long").repartition("key").sortWithinPartitions("key")
     pairs = durable(keyed.mapInArrow(_meet(tau), "a long, b long").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     wanted = known.join(ids, "h", "left_semi").select(F.col("h").alias("wh"), F.col("c").alias("wc"), "first")
-    there = lines["doc_id"].eqNullSafe(F.col("first.doc_id")) & (lines["line"] == F.col("first.line")) & (lines["h"] == F.col("wh")) & (lines["c"] == F.col("wc"))
+    there = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+    lines = texts.mapInArrow(_wanted(sent, min_chars), "doc_id long, line int, h long, content string").withColumn("c", F.crc32(F.col("content").cast("binary")))
     contents = durable(lines.join(wanted, there).select("h", "c", "first", "content").dropDuplicates(["h", "c"]))
     both = pairs.join(contents.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("first").alias("first_a"), F.col("content").alias("line_a")), "a")
     both = both.join(contents.select(F.col("h").alias("b"), F.col("c").alias("c_b"), F.col("first").alias("first_b"), F.col("content").alias("line_b")), "b")
