@@ -43,6 +43,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def hash_sample(texts: DataFrame, gate: Column, size: int) -> DataFrame:
+    """texts (text, not null) -> (text, gated): up to size distinct texts that pass the gate and up to size that don't, those first by a hash.
+
+    A first pass estimates how many distinct texts there are of both sorts; by that, the second passes on only about 4 * size of
+    each, copies merged before the shuffle, so no task gets more than a few samples' worth however large the table is.
+    """
+    rows = texts.select("text", gate.alias("gated"), F.xxhash64(F.lit("sample"), "text").alias("u"))
+    n = rows.agg(*(F.approx_count_distinct(F.when(F.col("gated") == x, F.col("u"))) for x in (True, False))).first()
+    with_gate, without = (min(1.0, 4 * size / max(1, x)) for x in n)
+    unit = F.shiftrightunsigned("u", 32) / float(1 << 32)
+    share = F.when(F.col("gated"), with_gate).otherwise(without)
+    few = durable(rows.where((unit < max(with_gate, without)) & (unit < share)).dropDuplicates(["text"]))
+    first = lambda x: few.where(F.col("gated") == x).orderBy("u", "text").limit(size)
+    return durable(first(True).unionByName(first(False)).select("text", "gated"))
+
+
 def words(text: Column | str) -> Column:
     """`[^\\x20\\x09-\\x0D]+` of a text; null gives none."""
     return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(f"[^{SPACE}]+"), F.lit(0))
