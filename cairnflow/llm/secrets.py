@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import hash_sample, small_batches
 
 SAMPLE, MAX_CHARS, WINDOW, WINDOWS, STEPS = 1000, 20_000, 24, 3000, 40
 KINDS = ("assign", "access", "hex")
@@ -228,11 +228,11 @@ def fit(texts: list[str]) -> Field | None:
 
 
 def sample_texts(docs: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> list[str]:
-    """At most 2 * sample texts of at most max_chars code points."""
-    short = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, max_chars)).select("text", F.xxhash64(F.lit("sample"), "text").alias("u"))
+    """At most 2 * sample different texts of at most max_chars code points, in an order of their own: reruns agree."""
+    short = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, max_chars))
     cue = F.lower("text").rlike("password|passwd|secret|token|api_?key|akia|[0-9a-f]{16}")
-    pick = lambda x: [r.text for r in x.orderBy("u", "text").limit(sample).toLocalIterator()]
-    return pick(short.where(cue)) + pick(short.where(~cue))
+    chosen = hash_sample(short, cue, sample).orderBy(F.desc("gated"), F.xxhash64("text"), "text")
+    return [r.text for r in chosen.toLocalIterator()]
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
