@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cairnflow.llm import decontaminate, embeddings, licenses, linededup, mixing, pii, secrets, simhash, toxicity, urlfilter
+from cairnflow.llm import decontaminate, embeddings, licenses, linededup, mixing, pii, secrets, shared, simhash, toxicity, urlfilter
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string, taken string, fp string, key string"
@@ -90,6 +90,31 @@ def test_lines(docs, texts, empty):
     assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == docs.count()
 
 
+def test_lines_do_not_depend_on_the_filter(docs, monkeypatch):
+    want = sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str)
+    monkeypatch.setattr(linededup, "_filter", lambda wanted: np.full(4096, 255, np.uint8))  # lets every line through
+    assert sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str) == want
+
+
+def test_filter_holds_all_it_was_given(spark, monkeypatch):
+    for most in (1 << 15, 1 << 20):
+        monkeypatch.setattr(linededup, "MOST_BITS", most)
+        h = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
+        bits = linededup._filter(spark.createDataFrame([(int(x),) for x in h], "h long"))
+        at = h.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+        assert (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all() and np.bitwise_count(bits).sum() == len(set(at.tolist()))
+
+
+def test_hash_sample(spark):
+    rows = [(f"line {i % 700}",) for i in range(2000)] + [(f"mark {i}",) for i in range(5)] + [("hot",)] * 3000
+    texts = spark.createDataFrame(rows, "text string")
+    take = lambda df: sorted(map(tuple, shared.hash_sample(df, texts["text"].startswith("mark"), 50).collect()))
+    got = take(texts)
+    assert got == take(texts.repartition(7)) and len(set(got)) == len(got)
+    assert sum(g for _, g in got) == 5 and sum(not g for _, g in got) == 50
+    assert shared.hash_sample(texts.where("false"), texts["text"].startswith("mark"), 50).count() == 0
+
+
 def test_edit_distance():
     r = random.Random(0)
     for _ in range(3000):
