@@ -24,7 +24,7 @@ def plain(rows):
     return sorted(tuple(round(v, 4) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["rating_profile", "holdout_sizes", "bayes_quality", "popularity_bucket", "metrics_by_segment", "exposure_gini", "series_cap2", "idf", "metadata_refresh", "relaxation_probe"])
+@pytest.mark.parametrize("name", ["rating_profile", "holdout_sizes", "bayes_quality", "popularity_bucket", "metrics_by_segment", "exposure_gini", "series_cap2", "idf", "metadata_refresh", "relaxation_probe", "rank_score", "required_people", "title_exclusion", "negative_pairs", "search_fallback", "hybrid_score", "residual_query", "constraint_inherit", "entity_index", "sliding_count"])
 def test_oracle(spark, name):
     want = oracle(name)
     got = registry.QUERIES[name](spark, SF)
