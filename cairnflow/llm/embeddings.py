@@ -101,3 +101,15 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, bits: int = BITS, tab
     out = vectors.select(F.col("vec_id").cast("long")).distinct().join(counts, "vec_id", "left").join(component.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     root = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+
+
+#: All pairs of one label by brute force, components by reachability; vectors of one id are taken to be one row.
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fit AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+root AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT r.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, r.component_id, r.vec_id = r.component_id AS kept FROM root r LEFT JOIN degree d ON r.vec_id = d.vec_id"""
