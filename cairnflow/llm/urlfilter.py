@@ -19,7 +19,7 @@ from .shared import durable
 
 #: The rules as host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-SUPPORT, CONFIDENCE, ITEMS = 0.005, 0.9, "array<string>"
+SUPPORT, CONFIDENCE, HOT = 0.005, 0.9, 1024
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -71,6 +71,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support:
     hits = open_.select("set", F.explode("items").alias("item")).join(index, "item").groupBy("set", "rule_id", "needs").agg(F.count(F.lit(1)).alias("has")).where("has = needs")
     best = hits.join(mined, "rule_id").groupBy("set").agg(F.max(F.struct("confidence", "support", (-F.size("antecedent")).alias("short"), "antecedent", "verdict")).alias("best"))
     best = best.select("set", F.col("best.verdict").alias("learned"), F.array_join("best.antecedent", " ").alias("mined"))
-    keyed = rows.withColumn("set", F.when(F.col("fits").isNull() & (F.col("host") != ""), F.xxhash64(F.array_join("items", "\x01"))))
-    out = keyed.join(best, "set", "left")
-    return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", "learned", F.lit("allow")).alias("verdict"), "mined")
+    set_, is_open = F.xxhash64(F.array_join("items", "\x01")), F.col("fits").isNull() & (F.col("host") != "")
+    keyed = rows.withColumns({"open": is_open, "set": F.when(is_open, set_).otherwise(F.xxhash64("page_id"))})  # no pile of null keys
+    # sets that hold over 1/HOT of the pages, so fewer than HOT of them, are joined by broadcast; the rest by shuffle
+    least = rows.count() / HOT
+    hot = keyed.where("open").groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("set").join(best, "set", "left")
+    hot = F.broadcast(durable(hot.select(F.col("set").alias("hot_set"), F.col("learned").alias("hot_learned"), F.col("mined").alias("hot_mined"))))
+    split = keyed.join(hot, F.col("open") & (F.col("set") == F.col("hot_set")), "left")
+    split = split.withColumn("open", F.col("open") & F.col("hot_set").isNull()).withColumn("set", F.when(F.col("hot_set").isNull(), F.col("set")).otherwise(F.xxhash64("page_id")))
+    cold = best.select(F.col("set").alias("cold_set"), "learned", "mined")
+    out = split.join(cold, F.col("open") & (F.col("set") == F.col("cold_set")), "left")
+    verdict = F.coalesce("fits.verdict", "hot_learned", "learned", F.lit("allow")).alias("verdict")
+    return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict, F.coalesce("hot_mined", "mined").alias("mined"))
