@@ -70,7 +70,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support:
     open_ = rows.where("fits is null and host <> ''").select(F.xxhash64(F.array_join("items", "\x01")).alias("set"), "items").dropDuplicates(["set"])
     hits = open_.select("set", F.explode("items").alias("item")).join(index, "item").groupBy("set", "rule_id", "needs").agg(F.count(F.lit(1)).alias("has")).where("has = needs")
     best = hits.join(mined, "rule_id").groupBy("set").agg(F.max(F.struct("confidence", "support", (-F.size("antecedent")).alias("short"), "antecedent", "verdict")).alias("best"))
-    best = best.select("set", F.col("best.verdict").alias("learned"), F.array_join("best.antecedent", " ").alias("mined"))
+    best = durable(best.select("set", F.col("best.verdict").alias("learned"), F.array_join("best.antecedent", " ").alias("mined")))  # read twice
     set_, is_open = F.xxhash64(F.array_join("items", "\x01")), F.col("fits").isNull() & (F.col("host") != "")
     keyed = rows.withColumns({"open": is_open, "set": F.when(is_open, set_).otherwise(F.xxhash64("page_id"))})  # no pile of null keys
     # sets that hold over 1/HOT of the pages, so fewer than HOT of them, are joined by broadcast; the rest by shuffle
