@@ -172,8 +172,10 @@ def _meet(tau: int):
     """Sorted (key, h, mark) -> pairs of different lines, one an index entry and one a probe, whose parities allow tau edits."""
 
     def pairs(h: np.ndarray, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        h, first = np.unique(h, return_index=True)
-        mark = mark[first]
+        order = np.argsort(h, kind="stable")
+        h, mark = h[order], mark[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        h, mark = h[first], np.bitwise_or.reduceat(mark, first)  # a line that is an index entry and a probe stays both
         index = np.flatnonzero(mark & np.uint64(1))
         for s in range(0, len(index), BLOCK):
             rows = index[s : s + BLOCK]

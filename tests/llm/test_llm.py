@@ -90,6 +90,13 @@ def test_lines(docs, texts, empty):
     assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == docs.count()
 
 
+def test_lines_with_long_runs_of_one_character_meet(spark):
+    pairs = [("Chapter 1 .................... 23", "Chapter 2 .................... 24"), ("a" + "-" * 30 + "b", "c" + "-" * 30 + "d"), ("name" + " " * 30 + "x1", "nane" + " " * 30 + "x2")]
+    rows = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = {(r.doc_id, r.line, r.near) for r in linededup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(linededup.edits_within(a, b, 2) for a, b in pairs) and got == {(1, 0, True), (3, 0, True), (5, 0, True)}
+
+
 def test_lines_do_not_depend_on_the_filter(docs, monkeypatch):
     want = sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str)
     monkeypatch.setattr(linededup, "_filter", lambda wanted: np.full(4096, 255, np.uint8))  # lets every line through
