@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-A line of at least MIN_CHARS code points is dropped if it occurred before, or if another line that occurred before is within
-TAU edits; before means a smaller (doc_id, line number) of the first occurrence. Shorter lines stay as they are. Lines end at "\\n".
+A line is dropped if it occurred before and isn't blank, or if it and another line that occurred before have at least MIN_CHARS
+code points and are within TAU edits; before means a smaller (doc_id, line number) of the first occurrence. Blank lines of fewer
+code points stay as they are. Lines end at "\\n".
 
 A line is cut into TAU + 1 segments, so a line within TAU edits holds one of them unchanged. Each distinct line sends its own
 segments and, for each length it may match, the substrings at the positions where a segment can stand (multi-match-aware
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, small_batches
+from .shared import SPACE, durable, small_batches
 
 TAU, MIN_CHARS, BLOCK = 2, 24, 2048
 _BUCKETS = 61
@@ -233,7 +234,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     """docs (doc_id, text) -> (doc_id, line, near): numbers (from 0) of the lines that go; near: no earlier equal line, only a near one."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(F.length("content") >= min_chars)
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where((F.length("content") >= min_chars) | F.col("content").rlike(f"[^{SPACE}]"))
     lines = lines.select("doc_id", "line", F.xxhash64("content").alias("h"), F.crc32(F.col("content").cast("binary")).alias("c"), "content")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line"))
     occurrences = durable(lines.drop("content"))

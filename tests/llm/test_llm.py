@@ -97,6 +97,12 @@ def test_lines_with_long_runs_of_one_character_meet(spark):
     assert all(linededup.edits_within(a, b, 2) for a, b in pairs) and got == {(1, 0, True), (3, 0, True), (5, 0, True)}
 
 
+def test_copies_of_short_lines_go_and_blank_lines_stay(spark):
+    rows = [(1, "Les.\n\n \t\nx"), (2, "Les.\n\n \t\nLes,"), (3, "y\nLes.\nLes.")]
+    got = {(r.doc_id, r.line, r.near) for r in linededup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 0, False), (3, 1, False), (3, 2, False)}
+
+
 def test_lines_do_not_depend_on_the_filter(docs, monkeypatch):
     want = sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str)
     monkeypatch.setattr(linededup, "_filter", lambda wanted: np.full(4096, 255, np.uint8))  # lets every line through
