@@ -253,6 +253,20 @@ def test_licenses(docs, empty):
     assert licenses.license_report(empty).count() == 0
 
 
+def test_licenses_need_the_text_of_a_template(spark):
+    plain = ["Drivers must renew their card together with the license fee", "You need permission to use the pool", "Permission is hereby refused to all visitors"]
+    wrapped = "in source and binary forms, with or without modification, are permitted"
+    rows = [*enumerate(plain), (10, wrapped), *((20 + i, t) for i, (_, t) in enumerate(licenses.TEMPLATES))]
+    got = rows_of(licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[i].n_licenses, got[i].n_unknown) for i in range(3)] == [(0, 1)] * 3 and got[10].families == "BSD"
+    assert [got[20 + i].families for i in range(len(licenses.TEMPLATES))] == [f for f, _ in licenses.TEMPLATES]
+
+
+def test_license_gate_loses_nothing():
+    for own in (own for sets in licenses._template_grams().values() for own in sets):
+        assert sum(not any(x in g for x in licenses.gate_words()) for g in own) < licenses.CONFIRM * len(own)
+
+
 def test_urls(spark):
     urls = ["http://www.Example.com/en/a", "https://example.com/en/b?x=1", "http://a.net/es/", "http://a.net/en/", "http://notexample.com/en/", None, "nourl", "http://net/fr/x", "http://x.org://y", ""]
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string")).collect()}
