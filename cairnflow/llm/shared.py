@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,13 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir; a machine-local one only where all runs in one process."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnflow-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -39,8 +42,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds at once: texts come in batches of so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds what a Python worker holds at once: texts come in batches of so many rows. The setting is read when a query
+    runs, after the operator has returned, so it stays set for the session; a smaller one of the user's is left."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def hash_sample(texts: DataFrame, gate: Column, size: int) -> DataFrame:
@@ -68,14 +74,22 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key(id_: str = "doc_id", text: str = "text") -> Column:
+    """A number of a row's id and text: rows that agree in both are copies of one row, rows that don't are told apart even if
+    they share an id or have none (64 bits beside the id, so only the rows of one id could clash)."""
+    return F.xxhash64(F.col(id_).cast("long"), F.lit("|"), F.col(text).cast("string"), F.col(text).isNull())
+
+
 def pair_tasks(rows: DataFrame, key: str, id_: str, chunk: int) -> DataFrame:
     """Deals the rows of each key to tasks such that every two rows of a key meet in exactly one task and no task gets
-    more than about 2 * chunk rows, however large the key's group is.
+    more than about 32 * chunk rows, however large the key's group is.
 
-    A group of n rows is cut into c = ceil(n / chunk) chunks by a hash of the id; task (key, a, b), a <= b, gets chunks a
-    and b. Adds columns task_a, task_b and chunk. Keys with one row are left out. Exact: no row and no pair is dropped.
+    A group of n rows is cut into chunks of `chunk` rows by a hash of the id, in large groups of n / 16 rows, at most
+    16 * chunk: fewer, longer chunks send fewer copies of a row. Task (key, a, b), a <= b, gets chunks a and b. Adds columns
+    task_a, task_b and chunk. Keys with one row are left out. Exact: no row and no pair is dropped.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_c"))
+    size = F.least(F.greatest(F.lit(chunk), F.col("_n") / 16), F.lit(16 * chunk))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / size).cast("int").alias("_c"))
     dealt = rows.join(counts, key).withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), id_), F.col("_c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
     return dealt.withColumn("_o", other).withColumns({"task_a": F.least("chunk", "_o"), "task_b": F.greatest("chunk", "_o")}).drop("_c", "_o")
@@ -112,22 +126,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-class Forest:
-    """Union-find over 0..n-1 inside one task, to send spanning links on instead of all pairs."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of the linked rows i[k], j[k] in place: label[x] is the smallest row of x's component."""
+    while True:
+        a, b = label[i], label[j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if not (differ := low < high).any():
+            return
+        np.minimum.at(label, high[differ], low[differ])
+        while (label != (up := label[label])).any():
+            label[:] = up

@@ -207,6 +207,52 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
 
 
+def near_by_brute_force(fit):
+    """vec_id -> ids linked, of (vec_id, vector, label) rows."""
+    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v, _ in fit}
+    return {i: {j for j, w, m in fit if j != i and m == l and len(w) == len(v) and unit[i] @ unit[j] >= 0.93} for i, v, l in fit}
+
+
+def components(near):
+    label = {i: i for i in near}
+    while (new := {i: min([label[i], *(label[j] for j in near[i])]) for i in near}) != label:
+        label = new
+    return label
+
+
+def test_embeddings_in_hot_groups_copies_and_clashing_columns(spark):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=8)
+    rows = [(i, (centre + r.normal(scale=0.1, size=8)).tolist(), 1) for i in range(300)]  # one bucket of near copies
+    rows += [(300 + i, [1.0, 2.0, 3.0], 1) for i in range(40)] + [(400 + i, [2.0, 4.0, 6.0], 1) for i in range(5)] + [(450, [1.0, 2.0, 3.0], 2), (451, [0.1, 0.2, 0.3], 1)]
+    df = spark.createDataFrame([(*x, "x", "x", 0, b"x", "x", "x", 0) for x in rows], "vec_id long, embedding array<double>, label int, key string, rep string, t int, codes binary, VEC string, component string, n int")
+    got = {x.vec_id: x for x in embeddings.near_vectors(df.repartition(5), miss=1e-6, chunk=16).collect()}
+    near = near_by_brute_force(rows)
+    assert {i: x.n_links for i, x in got.items()} == {i: len(v) for i, v in near.items()}
+    assert {i: x.component_id for i, x in got.items()} == components(near) and all(x.kept == (i == x.component_id) for i, x in got.items())
+
+
+def test_embedding_plan_keeps_recall_at_every_size():
+    for n in (0, 1, 50, 5000, 10**6, 10**9):
+        bits, tables = embeddings.plan(n)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= embeddings.MISS * 1.001
+    assert embeddings.plan(10**9)[0] == embeddings.MOST_BITS
+
+
+def test_labels_of_components_are_their_smallest_rows():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        n, i, j = 60, *r.integers(0, 60, (2, 45))
+        label = np.arange(n)
+        for s in range(0, 45, 10):
+            shared.merge_labels(label, i[s : s + 10], j[s : s + 10])
+        near = {k: set() for k in range(n)}
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            near[x].add(y)
+            near[y].add(x)
+        assert dict(enumerate(label.tolist())) == components(near)
+
+
 def test_pii(docs, texts, empty):
     got = rows_of(pii.pii_spans(docs))
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
