@@ -1,18 +1,22 @@
 """Line dedup by a segment-partition edit join.
 
 A line is dropped if it occurred before and isn't blank, or if it and another line that occurred before have at least MIN_CHARS
-code points and are within TAU edits; before means a smaller (doc_id, line number) of the first occurrence. Blank lines of fewer
-code points stay as they are. Lines end at "\\n".
+code points and are within TAU edits; before means a smaller (doc_id, row key, line number) of the first occurrence. Blank lines of
+fewer code points stay as they are. Lines end at "\\n".
 
 A line is cut into TAU + 1 segments, so a line within TAU edits holds one of them unchanged. Each distinct line sends its own
 segments and, for each length it may match, the substrings at the positions where a segment can stand (multi-match-aware
 windows), as hashes of (length, segment number, content). Lines that meet under a hash are filtered by the parity of their
 character counts (an edit flips at most two bits), and their texts are compared by a banded bit-parallel edit distance.
-The hashes are dealt once, sorted by key; a run keeps numbers only. Copies are merged before any comparison. Contents are
+The hashes are dealt once, sorted by key; a run keeps numbers only. Copies are merged before any comparison. A key under which
+more than HOT different lines meet is only named in that pass; a second one deals its lines to pair tasks. Contents are
 fetched for the lines that met: a filter of bits, of a bounded size, keeps other lines out of that shuffle; a join decides.
 
-Nulls: a null text has no lines and stays null; a null doc_id orders after all others. Repeated rows of one doc_id are one
-document (first occurrence: the same line of any of them). Empty texts and tables stay so. Other columns are passed on.
+Rows are told apart by (doc_id, row key), the key a hash of id and text: rows that agree in both are copies of one document and are
+judged alike, different texts under one id are judged each for itself, and rows without an id are judged like any other, last in
+the order. A null text has no lines and stays null. Empty texts and tables stay so. Very long texts and lines are whole: an edit
+comparison needs memory in proportion to a line. Equal first occurrences can't tie, as (doc_id, row key, line) is one place.
+Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, durable, small_batches
+from .shared import SPACE, durable, fresh_name, pair_tasks, place_of, row_key, small_batches
+from .simhash import runs
 
-TAU, MIN_CHARS, BLOCK = 2, 24, 2048
+TAU, MIN_CHARS, BLOCK, HOT = 2, 24, 2048, 20_000
 _BUCKETS = 61
 #: Bits for each wanted line in the filter that goes before the shuffle of contents, and the most it has (16 MB).
 SPREAD, MOST_BITS = 16, 1 << 27
@@ -77,13 +82,14 @@ def edits_within(a: str, b: str, k: int) -> bool:
     m, width = len(a), 2 * k + 1
     if m <= k:
         return _small(a, b) <= k
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << (i + k)  # bit i + k: pattern row i + 1, moved so that no shift is negative
+    padded = [None] * k + list(a) + [None] * (k + 1 + len(b) - m)  # the band below and above the pattern matches nothing
     full, top = (1 << width) - 1, 1 << (width - 1)
     vp, vn, score = ((1 << (k + 1)) - 1) << k, 0, k
     for j, ch in enumerate(b, 1):
-        x = where.get(ch, 0) >> (j - 1) & full
+        x = 0
+        for t in range(width):  # bit t: pattern row j - k + t
+            if padded[j - 1 + t] == ch:
+                x |= 1 << t
         d0 = ((((x & vp) + vp) ^ vp) | x | vn) & full
         hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
         if j + k <= m:
@@ -135,9 +141,9 @@ def _keys(tau: int, min_chars: int):
     return run
 
 
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of the column h, one set for each value modulo the size; past MOST_BITS it lets more through, never less."""
-    bits = min(MOST_BITS, 1 << max(15, (SPREAD * wanted.count()).bit_length()))
+def bit_filter(wanted: DataFrame, most_bits: int) -> np.ndarray:
+    """Bits of the column h, one set for each value modulo the size; past most_bits it lets more through, never less."""
+    bits = min(most_bits, 1 << max(15, (SPREAD * wanted.count()).bit_length()))
     at = F.pmod(F.col("h"), F.lit(bits)) + 1
     parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros((bits >> 15, 4096), np.uint8)
@@ -147,7 +153,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _wanted(sent, min_chars: int):
-    """(doc_id, text) -> the lines (doc_id, line, h, content) whose hash the filter lets through."""
+    """(doc_id, row, text) -> the lines (doc_id, row, line, h, content) whose hash the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -155,7 +161,7 @@ def _wanted(sent, min_chars: int):
         bits = sent.value
         last = 8 * len(bits) - 1
         for batch in batches:
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, row, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 lines = [(i, x) for i, x in enumerate((cell.as_py() or "").split("\n")) if len(x) >= min_chars]
                 if not lines:
                     continue
@@ -163,63 +169,110 @@ def _wanted(sent, min_chars: int):
                 at = h & np.uint64(last)
                 ok = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 if len(ok):
-                    cols = pa.array([doc_id] * len(ok), pa.int64()), pa.array([lines[i][0] for i in ok], pa.int32()), pa.array(h[ok].view(np.int64)), pa.array([lines[i][1] for i in ok], pa.string())
-                    yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "line", "h", "content"])
+                    cols = pa.array([doc_id] * len(ok), pa.int64()), pa.array([row] * len(ok), pa.int64()), pa.array([lines[i][0] for i in ok], pa.int32()), pa.array(h[ok].view(np.int64)), pa.array([lines[i][1] for i in ok], pa.string())
+                    yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "row", "line", "h", "content"])
 
     return run
 
 
-def _meet(tau: int):
-    """Sorted (key, h, mark) -> pairs of different lines, one an index entry and one a probe, whose parities allow tau edits."""
-
-    def pairs(h: np.ndarray, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(h, kind="stable")
-        h, mark = h[order], mark[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        h, mark = h[first], np.bitwise_or.reduceat(mark, first)  # a line that is an index entry and a probe stays both
-        index = np.flatnonzero(mark & np.uint64(1))
-        for s in range(0, len(index), BLOCK):
-            rows = index[s : s + BLOCK]
-            for t in range(0, len(h), BLOCK):
-                other = np.arange(t, min(t + BLOCK, len(h)))
-                near = np.bitwise_count((mark[rows][:, None] ^ mark[other][None, :]) >> np.uint64(2)) <= 2 * tau
-                i, j = np.nonzero(near)
-                i, j = rows[i], other[j]
-                ok = (i != j) & ~((mark[j] & np.uint64(1)).astype(bool) & (j < i))  # two index entries meet once
-                i, j = i[ok], j[ok]
+def _distinct(h: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines once each; a line that is an index entry and a probe stays both."""
+    order = np.argsort(h, kind="stable")
+    h, mark = h[order], mark[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.bitwise_or.reduceat(mark, first)
+
+
+def _near(h: np.ndarray, mark: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a line of left and one of right, one an index entry, whose parities allow tau edits; smaller hash first."""
+    for s in range(0, len(left), BLOCK):
+        for t in range(0, len(right), BLOCK):
+            rows, other = left[s : s + BLOCK], right[t : t + BLOCK]
+            near = np.bitwise_count((mark[rows][:, None] ^ mark[other][None, :]) >> np.uint64(2)) <= 2 * tau
+            i, j = np.nonzero(near)
+            i, j = rows[i], other[j]
+            ok = (h[i] != h[j]) & (((mark[i] | mark[j]) & np.uint64(1)) > 0)
+            i, j = i[ok], j[ok]
+            if len(i):
                 yield np.minimum(h[i], h[j]), np.maximum(h[i], h[j])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def solve(key: np.ndarray, h: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            many = np.flatnonzero(stops - starts > 1)
-            some = np.array([(h[a:b] != h[a]).any() for a, b in zip(starts[many], stops[many], strict=True)], bool)
-            for r in many[some] if len(many) else []:
-                for a, b in pairs(h[starts[r] : stops[r]], mark[starts[r] : stops[r]]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), other], ["a", "b"])
+
 
-        def joined() -> tuple[np.ndarray, ...]:
-            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def _meet(tau: int, hot: int):
+    """Sorted (key, h, mark) -> pairs of different lines, one an index entry and one a probe, whose parities allow tau edits;
+    a key of more than hot lines goes out as (key, null)."""
+
+    def solve(key: np.ndarray, h: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        many = np.flatnonzero(stops - starts > 1)
+        some = np.array([(h[a:b] != h[a]).any() for a, b in zip(starts[many], stops[many], strict=True)], bool)
+        for r in many[some] if len(many) else []:
+            hh, mm = _distinct(h[starts[r] : stops[r]], mark[starts[r] : stops[r]])
+            if len(hh) > hot:
+                yield _batch(key[starts[r] : starts[r] + 1], None)
+                continue
+            index = np.flatnonzero(mm & np.uint64(1))
+            for pair in _near(hh, mm, index, np.arange(len(hh)), tau):
+                yield _batch(*pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        passed = None  # a hot key whose rows go by
 
         for batch in batches:
-            if not batch.num_rows:
+            new = tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            if passed is not None:
+                stays = new[0] != passed
+                new = tuple(c[stays] for c in new)
+            if not len(new[0]):
                 continue
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)))
-            if held[-1][0][-1] != held[0][0][0]:  # keep the last run, it may go on
-                key, h, mark = joined()
+            held.append(new)
+            if new[0][-1] != held[0][0][0]:  # keep the last run, it may go on
+                key, h, mark = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
                 held[:] = [(key[cut:], h[cut:], mark[cut:])]
                 yield from solve(key[:cut], h[:cut], mark[:cut])
+            if sum(len(x[0]) for x in held) > 2 * hot:
+                key = held[0][0][:1]
+                h, mark = _distinct(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
+                held[:] = [(np.repeat(key, len(h)), h, mark)]
+                if len(h) > hot:
+                    yield _batch(key, None)
+                    held.clear()
+                    passed = key[0]
         if held:
-            yield from solve(*joined())
+            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+def _meet_task(tau: int):
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        h, mark, chunk = t["h"].to_numpy().view(np.uint64), t["mark"].to_numpy().view(np.uint64), t["chunk"].to_numpy()
+        left, right = (np.flatnonzero(chunk == t[k][0].as_py()) for k in ("task_a", "task_b"))
+        found = list(_near(h, mark, left, right, tau))
+        return _batch(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else None
+
+    return lambda batches: runs(batches, ["key", "task_a", "task_b"], solve)
+
+
+def met_lines(texts: DataFrame, tau: int, min_chars: int, hot: int) -> DataFrame:
+    """(text) -> distinct pairs (a, b) of hashes of lines that meet under a key and may be near."""
+    keyed = texts.select("text").mapInArrow(_keys(tau, min_chars), "key long, h long, mark long")
+    met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(tau, hot), "a long, b long").distinct())
+    pairs, large = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+    if large.isEmpty():
+        return pairs
+    lines = keyed.join(large, "key").groupBy("key", "h").agg(F.bit_or("mark").alias("mark"))
+    tasks = pair_tasks(durable(lines), "key", "h", BLOCK).repartition("key", "task_a", "task_b").sortWithinPartitions("key", "task_a", "task_b")
+    return durable(pairs.unionByName(tasks.mapInArrow(_meet_task(tau), "a long, b long")).distinct())
+
+
 def _verified(tau: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,23 +283,22 @@ def _verified(tau: int):
     return run
 
 
-def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, line, near): numbers (from 0) of the lines that go; near: no earlier equal line, only a near one."""
+def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, row, line, near): numbers (from 0) of the lines that go; near: no earlier equal line, only a near one."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where((F.length("content") >= min_chars) | F.col("content").rlike(f"[^{SPACE}]"))
-    lines = lines.select("doc_id", "line", F.xxhash64("content").alias("h"), F.crc32(F.col("content").cast("binary")).alias("c"), "content")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line"))
+    texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
+    lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where((F.length("content") >= min_chars) | F.col("content").rlike(f"[^{SPACE}]"))
+    lines = lines.select("doc_id", "row", "line", F.xxhash64("content").alias("h"), F.crc32(F.col("content").cast("binary")).alias("c"), "content")
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     occurrences = durable(lines.drop("content"))
-    known = durable(occurrences.groupBy("h", "c").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    known = durable(occurrences.groupBy("h", "c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
 
-    keyed = texts.select("text").mapInArrow(_keys(tau, min_chars), "key long, h long, mark long").repartition("key").sortWithinPartitions("key")
-    pairs = durable(keyed.mapInArrow(_meet(tau), "a long, b long").distinct())
+    pairs = met_lines(texts, tau, min_chars, hot)
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     wanted = known.join(ids, "h", "left_semi").select(F.col("h").alias("wh"), F.col("c").alias("wc"), "first")
-    there = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(ids))
-    lines = texts.mapInArrow(_wanted(sent, min_chars), "doc_id long, line int, h long, content string").withColumn("c", F.crc32(F.col("content").cast("binary")))
+    there = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & (F.col("h") == F.col("wh")) & (F.col("c") == F.col("wc"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, MOST_BITS))
+    lines = texts.mapInArrow(_wanted(sent, min_chars), "doc_id long, row long, line int, h long, content string").withColumn("c", F.crc32(F.col("content").cast("binary")))
     contents = durable(lines.join(wanted, there).select("h", "c", "first", "content").dropDuplicates(["h", "c"]))
     both = pairs.join(contents.select(F.col("h").alias("a"), F.col("c").alias("c_a"), F.col("first").alias("first_a"), F.col("content").alias("line_a")), "a")
     both = both.join(contents.select(F.col("h").alias("b"), F.col("c").alias("c_b"), F.col("first").alias("first_b"), F.col("content").alias("line_b")), "b")
@@ -255,39 +307,41 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     near = both.mapInArrow(_verified(tau), "h long, c long").distinct().withColumn("is_near", F.lit(True))
 
     judged = durable(known.join(near, ["h", "c"], "left").where("n > 1 or is_near").select("h", "c", "first", F.coalesce("is_near", F.lit(False)).alias("is_near")))
-    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
-    is_first = here == F.col("first")
-    out = occurrences.join(judged, ["h", "c"]).where(F.col("is_near") | ~F.coalesce(is_first, F.lit(False)))
-    return out.select("doc_id", "line", F.col("is_near").alias("near"))
+    out = occurrences.join(judged, ["h", "c"]).where(F.col("is_near") | ~here.eqNullSafe(F.col("first")))
+    return out.select("doc_id", "row", "line", F.col("is_near").alias("near"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, gone = batch.schema.get_field_index("text"), batch.num_columns - 1
-        texts, out = batch.column(at).to_pylist(), []
-        for text, numbers in zip(texts, batch.column(gone).to_pylist(), strict=True):
-            if text is not None and numbers:
-                drop = set(numbers)
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        batch = batch.set_column(at, "text", pa.array(out, pa.string()))
-        yield batch.select(range(batch.num_columns - 1))
+def _without(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(place).to_pylist(), []
+            for text, numbers in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and numbers:
+                    drop = set(numbers)
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+                out.append(text)
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(out, pa.string()))
+            yield batch.select(range(batch.num_columns - 1))
+
+    return run
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the dropped lines taken out of their texts; every document stays, with all its columns (n_chars follows the text)."""
-    name = "_gone"
-    while name in {x.lower() for x in docs.columns}:
-        name += "_"
-    gone = dropped_lines(docs).where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias(name))
-    out = docs.join(gone, "doc_id", "left").select(*docs.columns, name).mapInArrow(_without, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    """docs with the dropped lines taken out of their texts; every row stays, with all its columns (n_chars follows the text)."""
+    gone_, row_, id_ = (fresh_name(docs, x) for x in ("gone", "row", "id"))
+    gone = dropped_lines(docs).groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row_)).agg(F.collect_set("line").alias(gone_))
+    out = docs.join(gone, (row_key() == F.col(row_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left").select(*docs.columns, gone_)
+    out = out.mapInArrow(_without(place_of(docs, "text")), docs.schema)
+    if "n_chars" in (names := [x.lower() for x in docs.columns]):
+        at = names.index("n_chars")
+        out = out.withColumn(docs.columns[at], F.length("text").cast(docs.schema[at].dataType))
+    return out.select(*docs.columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped_sha256 (of the dropped numbers in order, comma-joined), one row per row of docs."""
-    gone = dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
-    all_ = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
-    out = all_.join(gone, "doc_id", "left")
+    gone = dropped_lines(docs).groupBy(F.col("doc_id").alias("id"), "row").agg(F.array_sort(F.collect_set("line")).alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near"))
+    all_ = docs.select(F.col("doc_id").cast("long"), row_key().alias("r"), F.size(F.split(F.col("text").cast("string"), "\n", -1)).alias("n"), F.col("text").isNull().alias("none"))
+    out = all_.join(gone, (F.col("r") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     numbers = F.array_join(F.coalesce("gone", F.array().cast("array<int>")), ",")
     return out.select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.sha2(numbers.cast("binary"), 256).alias("dropped_sha256"))

@@ -80,6 +80,19 @@ def row_key(id_: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(id_).cast("long"), F.lit("|"), F.col(text).cast("string"), F.col(text).isNull())
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, in any capitals."""
+    known, name = {x.lower() for x in df.columns}, "_" + name
+    while name in known:
+        name += "_"
+    return name
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, in any capitals, as Spark resolves names."""
+    return [x.lower() for x in df.columns].index(name)
+
+
 def pair_tasks(rows: DataFrame, key: str, id_: str, chunk: int) -> DataFrame:
     """Deals the rows of each key to tasks such that every two rows of a key meet in exactly one task and no task gets
     more than about 32 * chunk rows, however large the key's group is.
