@@ -8,8 +8,9 @@ Only distinct fingerprints are compared, groups over CHUNK rows are cut into pai
 forest of what it linked, so neither copies nor near copies expand into pairs.
 
 Nulls: a null text is empty; no words give fingerprint zero, linked like any other. A null doc_id keeps its row and takes the
-component of its class; a class with only null ids has a null component. Repeated rows each get a row. Other columns
-are ignored. An empty table gives an empty result.
+component of its class; a component with only null ids has a null name. Repeated rows each get a row. Very long texts are hashed
+whole, in blocks. Other columns are ignored. An empty table gives an empty result. `keep_one` keeps exactly one row of each
+component: that of the smallest (doc_id, row key), ids before null; of rows that agree in id and text, any one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, durable, pair_tasks, small_batches
+from .shared import connected_components, durable, fresh_name, pair_tasks, row_key, small_batches
 
 WIDTH, LIMIT, SEED, PIVOTS, CHUNK = 4, 4, 42, 32, 2048
 #: References for the distance table: fixed by a seed, alike on every executor.
@@ -51,8 +52,8 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
 
 def _pivot_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,29 +165,47 @@ def block_keys(fp: str, limit: int, k: int):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of docs, over whole texts."""
+    """(doc_id, row, fp): one row per row of docs, over whole texts; row is the row key."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
-def near_links(classes: DataFrame, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
+def near_links(classes: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """classes (fp, rep): spanning links (u, v) between the reps of different fingerprints within the limit."""
-    table = durable(classes.where("rep is not null").mapInArrow(_pivot_table, "fp long, rep long, pivots binary"))
-    keyed = table.withColumn("key", F.explode(block_keys("fp", limit, agreed_blocks(table.count()))))
+    table = durable(classes.mapInArrow(_pivot_table, "fp long, rep long, pivots binary"))
+    keyed = table.withColumn("key", F.explode(block_keys("fp", limit, blocks or agreed_blocks(table.count()))))
     tasks = pair_tasks(keyed, "key", "fp", chunk).repartition("key", "task_a", "task_b").sortWithinPartitions("key", "task_a", "task_b")
     return tasks.mapInArrow(_solver(limit), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fingerprint, component_id."""
+def _classed(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) and (fp, group): every fingerprint's component, named by one of its fingerprints."""
     fps = durable(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(near_links(classes, limit))
-    of = durable(classes.join(found, classes["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")).distinct(), limit))
+    of = fps.select("fp").distinct().join(found.withColumnRenamed("id", "fp"), "fp", "left")
+    return fps, durable(of.select("fp", F.coalesce("component", "fp").alias("group")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of another document: of each component the smallest doc_id stays; null ids stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, fingerprint, component_id."""
+    fps, of = _classed(docs, limit)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(of, "fp")
+    names = durable(of.join(least.groupBy("group").agg(F.min("rep").alias("component_id")), "group").select("fp", "component_id"))
+    return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns."""
+    fps, of = _classed(docs, limit)
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    rows = fps.groupBy("fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("fp").agg(F.min_by(F.struct("doc_id", "row", "n"), here).alias("x"), F.min(here).alias("h")).join(of, "fp")
+    id_, row_, n_ = (fresh_name(docs, x) for x in ("id", "row", "n"))
+    best = best.groupBy("group").agg(F.min_by("x", "h").alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.row").alias(row_), F.col("x.n").alias(n_))
+    best = durable(best)
+    kept = docs.join(best, (row_key() == F.col(row_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    once = kept.where(F.col(n_) == 1).select(*docs.columns)
+    if best.where(F.col(n_) > 1).isEmpty():
+        return once
+    copies = kept.where(F.col(n_) > 1).dropDuplicates([id_, row_]).select(*docs.columns)
+    return once.unionByName(copies)
