@@ -1,81 +1,116 @@
 """Benchmark decontamination: broadcast set of normalised test n-grams, window scan, verified hits, removal.
 
-The set is built of the benchmark in blocks of at most `max_windows` windows; each block is broadcast and scanned against all
-documents, and the blocks' findings are merged per document, so the broadcast stays bounded however many test items there are.
-
-Nulls: a null text has no words; a null item_id counts as an item of its own named ''. Repeated items count once. Items
-without words occur nowhere. Repeated document rows each get a row. Empty tables give empty results, other columns are ignored.
+The set is arrays: the windows' 64-bit hashes in order, where each stands in the items' normalised text, and its item. A document's
+windows are looked up by hash and verified by comparing the words. A benchmark of at most `max_windows` windows is broadcast
+so (about 25 bytes a window and its text). A larger one isn't: its windows are dealt by hash, a filter of at most MOST_BITS
+bits is broadcast instead, and the documents' windows that pass it are joined to the benchmark's, verified by a second,
+independent hash. Either way the documents are scanned once, and results are the same.
+
+Nulls: a null text has no words; a null item_id counts as an item of its own named ''. Repeated items count once, ties of windows
+between items count for each item. Items without words occur nowhere. Repeated document rows each get a row. Very long texts are
+scanned whole. Empty tables give empty results, other columns are ignored, or passed on by the removing functions, which judge a
+row by its own text, so rows without an id or with a shared one too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import durable, fresh_name, place_of, row_key, small_batches
 
-WINDOW, MAX_WINDOWS = 10, 2_000_000
+WINDOW, MAX_WINDOWS, MOST_BITS = 10, 2_000_000, 1 << 27
 #: A-Z lowered; all but digits, letters and bytes of code points over 0x7F become spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_NOT_A_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def _rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each window of word numbers."""
-    n, out = len(ids) - width + 1, np.zeros(max(0, len(ids) - width + 1), np.uint64)
+def word_hashes(parts: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
+
+
+def window_hashes(words: np.ndarray, width: int, multiplier: np.uint64 = _MULTIPLIERS[0]) -> np.ndarray:
+    """A 64-bit hash of each window of words."""
+    n = max(0, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * _MULTIPLIER + ids[k : k + n]
-    return out
+        out = out * multiplier + words[k : k + n]
+    return out ^ out >> np.uint64(31)
 
 
 class NgramSet:
-    """Windows of test items by their length, each with the items it is from."""
+    """Windows of test items by their length, as arrays: hash, place in the text, item."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, set[str]]] = {}
+    def __init__(self, items: Iterator[tuple[str, str | None]], window: int = WINDOW) -> None:
+        self.names: list[str] = []
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        pieces, at = [], 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normal_words(text)]
-            width = min(window, len(ids))
-            for i in range(len(ids) - width + 1 if ids else 0):
-                self.windows.setdefault(width, {}).setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.hashes = {k: np.sort(_rolling_rows(list(v), k)) for k, v in self.windows.items()}
+            words = normal_words(text)
+            if not words:
+                continue
+            width = min(window, len(words))
+            starts = at + np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+            hashes = window_hashes(word_hashes(words), width)
+            _, once = np.unique(hashes, return_index=True) if len(hashes) > 1 else (None, np.arange(len(hashes)))
+            if len(once) < len(hashes):  # windows that repeat within the item, not just their hashes, stand once
+                joined, seen, once = b" ".join(words), set(), []
+                for i in range(len(hashes)):
+                    window_ = joined[starts[i] - at : starts[i + width] - at - 1]
+                    if window_ not in seen:
+                        seen.add(window_)
+                        once.append(i)
+            places = np.sort(np.asarray(once, np.int64))
+            parts.setdefault(width, []).append((hashes[places], starts[places], np.full(len(places), len(self.names), np.int32)))
+            self.names.append(item)
+            pieces += [b" ".join(words), b"\n"]
+            at = int(starts[-1])
+        self.text = b"".join(pieces)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, rows in parts.items():
+            h, place, item_ = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(h, kind="stable")
+            place = place.astype(np.uint32 if at < 1 << 32 else np.int64)
+            self.windows[width] = (h[order], place[order], item_[order])
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit windows as (start, width), items found."""
         parts = normal_words(text)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in parts), np.uint64, len(parts))
+        words = word_hashes(parts) if self.windows else ()
         hits, items = [], set()
-        for width, hashes in self.hashes.items():
-            if len(ids) < width:
+        for width, (hashes, places, names) in self.windows.items():
+            if len(parts) < width:
                 continue
-            rolled = _rolling(ids, width)
+            rolled = window_hashes(words, width)
             at = np.searchsorted(hashes, rolled)
             at[at == len(hashes)] = 0
             for i in np.flatnonzero(hashes[at] == rolled).tolist():
-                if found := self.windows[width].get(tuple(ids[i : i + width].tolist())):
+                window, k, hit = b" ".join(parts[i : i + width]), int(at[i]), False
+                while k < len(hashes) and hashes[k] == rolled[i]:
+                    place = int(places[k])
+                    if self.text[place : place + len(window)] == window and self.text[place + len(window)] in b" \n":
+                        items.add(self.names[names[k]])
+                        hit = True
+                    k += 1
+                if hit:
                     hits.append((i, width))
-                    items |= found
         return len(parts), hits, items
 
 
-def _rolling_rows(windows: list[tuple], width: int) -> np.ndarray:
-    table, out = np.array(windows, np.uint64).reshape(-1, width), np.zeros(len(windows), np.uint64)
-    for k in range(width):
-        out = out * _MULTIPLIER + table[:, k]
-    return out
-
-
 def _merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Windows as disjoint spans [start, stop)."""
     out: list[list[int]] = []
@@ -87,105 +122,155 @@ def _merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _report(n: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
-    return n, sum(b - a for a, b in spans), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(spans)
-
-
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def benchmark_blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> list[list[tuple[str, str | None]]]:
-    """The test items in blocks of about max_windows words; streamed to the driver one partition at a time."""
-    blocks, n = [[]], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t")
-    for item, text in rows.toLocalIterator():
-        size = len(normal_words(text))
-        if blocks[-1] and n + size > max_windows:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((item, text))
-        n += size
-    return blocks
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = benchmark_blocks(benchmark, max_windows)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if len(blocks) == 1:
-        known = spark.sparkContext.broadcast(NgramSet(blocks[0], window))
+def _n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), _NOT_A_WORD), lambda x: x != ""))
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(n, _merged(hits), items) for n, hits, items in (known.value.scan(x.as_py()) for x in batch.column(1))]
-                cols = list(zip(*(_report(*r) for r in rows), strict=True)) or [[]] * 5
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], _SCHEMA_NAMES)
 
-        return texts.mapInArrow(scan, _SCHEMA)
-    parts = None
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    for block in blocks:
-        known = spark.sparkContext.broadcast(NgramSet(block, window))
+def broadcast_set(benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS):
+    """The benchmark's set as a broadcast variable, or None if it has more than max_windows words. Counted before it is fetched."""
+    items = _items(benchmark)
+    if (items.agg(F.sum(_n_words(F.col("text")))).first()[0] or 0) > max_windows:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast(NgramSet(((r.item, r.text) for r in items.distinct().orderBy("item", "text").toLocalIterator()), window))
 
-        def spans(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [known.value.scan(x.as_py()) for x in batch.column(1)]
-                spans = [[x for s in _merged(hits) for x in s] for _, hits, _ in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))], ["doc_id", "row", "n", "spans", "items"])
 
-        part = keyed.mapInArrow(spans, "doc_id long, row long, n long, spans array<long>, items array<string>")
-        parts = part if parts is None else parts.unionByName(part)
+def _benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct (width, h, g, item)."""
 
-    def merge(key, pdf):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if words := normal_words(text.as_py()):
+                    width, hashed = min(window, len(words)), word_hashes(words)
+                    h, g = (window_hashes(hashed, width, m).view(np.int64) for m in _MULTIPLIERS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), width, np.int32)), pa.array(h), pa.array(g), pa.array([item] * len(h), pa.string())], ["width", "h", "g", "item"])
 
-        copies = max(1, len(pdf) // len(blocks))
-        flat = [int(x) for s in pdf["spans"] for x in s]
-        hits = _merged([(a, b - a) for a, b in zip(flat[::2], flat[1::2], strict=True)])
-        row = _report(int(pdf["n"].iloc[0]), hits, {x for s in pdf["items"] for x in s})
-        return pd.DataFrame([(key[0], *row)] * copies, columns=_SCHEMA_NAMES)
+    return durable(_items(benchmark).mapInArrow(run, "width int, h long, g long, item string").distinct())
 
-    return parts.groupBy("doc_id", "row").applyInPandas(merge, _SCHEMA)
 
+def _dealt(docs: DataFrame, benchmark: DataFrame, window: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """For a benchmark too large to broadcast: (doc_id, row, n) a row per row of docs, and distinct hits (doc_id, row, pos, width, item)."""
+    from .linededup import bit_filter
 
-_SCHEMA_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+    known = _benchmark_windows(benchmark, window)
+    widths = sorted(r.width for r in known.select("width").distinct().collect())  # at most `window` of them
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(known.select("h").distinct(), most_bits))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        last = np.uint64(8 * len(bits) - 1)
+        for batch in batches:
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = normal_words(text.as_py())
+                hashed = word_hashes(words)
+                cols = [[np.array([-1])], [np.array([len(words)])], [np.array([0])], [np.array([0])]]
+                for width in widths:
+                    h = window_hashes(hashed, width)
+                    at = h & last
+                    ok = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    g = window_hashes(hashed, width, _MULTIPLIERS[1])
+                    for c, x in zip(cols, (ok, np.full(len(ok), width), h[ok].view(np.int64), g[ok].view(np.int64)), strict=True):
+                        c.append(x)
+                pos, width_, h, g = (np.concatenate(c).astype(np.int64) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(pos), pa.int64()), pa.array([row] * len(pos), pa.int64()), pa.array(pos), pa.array(width_), pa.array(h), pa.array(g)], ["doc_id", "row", "pos", "width", "h", "g"])
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark window."""
-    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
+    found = durable(texts.mapInArrow(run, "doc_id long, row long, pos long, width long, h long, g long"))
+    hits = found.where("pos >= 0").join(known, ["width", "h", "g"]).select("doc_id", "row", "pos", "width", "item").distinct()
+    return found.where("pos < 0").select("doc_id", "row", F.col("width").alias("n")), durable(hits)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs whose texts lack the words inside hit windows; what stood between two words that stay is kept."""
-    import re
+def _spans(hits: DataFrame) -> DataFrame:
+    """Hits -> (doc_id, row, pos, fresh, stop): windows in order, with how many words no earlier one has."""
+    order = W.partitionBy("doc_id", "row").orderBy("pos", "width")
+    before = F.coalesce(F.max(F.col("pos") + F.col("width")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stop = F.col("pos") + F.col("width")
+    return hits.select("doc_id", "row", "pos", "width").distinct().select("doc_id", "row", "pos", F.greatest(F.lit(0), stop - F.greatest(before, "pos")).alias("fresh"), stop.alias("stop"))
+
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as the lowered pattern, on the text as it is
-    out = docs
-    for block in benchmark_blocks(benchmark, max_windows):
-        known = spark.sparkContext.broadcast(NgramSet(block, window))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, most_bits: int = MOST_BITS) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    small_batches(docs.sparkSession)
+    known = broadcast_set(benchmark, window, max_windows)
+    if known is not None:
 
-        def cut(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("text")
-                texts = batch.column(at).to_pylist()
-                for k, text in enumerate(texts):
-                    spans = _merged(known.value.scan(text)[1])
-                    if spans:
-                        places = [m.span() for m in word.finditer(text)]
-                        for a, b in reversed(spans):
-                            text = text[: places[a][0]] + text[places[b - 1][1] :]
-                        texts[k] = text
-                yield batch.set_column(at, "text", pa.array(texts, pa.string()))
-
-        out = out.mapInArrow(cut, out.schema)
-    return out
+                rows = []
+                for n, hits, items in (known.value.scan(x.as_py()) for x in batch.column(1)):
+                    spans = _merged(hits)
+                    rows.append((n, sum(b - a for a, b in spans), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(spans)))
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], _NAMES)
+
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _SCHEMA)
+    rows, hits = _dealt(docs, benchmark, window, most_bits)
+    covered = _spans(hits).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("key")).agg(F.sum("fresh").alias("n_hit"))
+    items = hits.groupBy(F.col("doc_id").alias("i"), F.col("row").alias("k")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of = F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
+    found = covered.join(items, of)
+    out = rows.join(found, F.col("row").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, most_bits: int = MOST_BITS) -> DataFrame:
+    """docs without those that hold a benchmark window; texts aren't shuffled if the set is broadcast."""
+    small_batches(docs.sparkSession)
+    known, place = broadcast_set(benchmark, window, max_windows), place_of(docs, "text")
+    if known is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not known.value.scan(x.as_py())[1] for x in batch.column(place)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    _, hits = _dealt(docs, benchmark, window, most_bits)
+    id_, row_ = fresh_name(docs, "id"), fresh_name(docs, "row")
+    hit = hits.select(F.col("doc_id").alias(id_), F.col("row").alias(row_)).distinct()
+    return docs.join(hit, (row_key() == F.col(row_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_anti").select(*docs.columns)
+
+
+#: As the lowered pattern, on the text as it is.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    places = [m.span() for m in _WORD.finditer(text)]
+    for a, b in reversed(spans):
+        text = text[: places[a][0]] + text[places[b - 1][1] :]
+    return text
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, most_bits: int = MOST_BITS) -> DataFrame:
+    """docs whose texts lack the words inside hit windows; what stood between two words that stay is kept."""
+    small_batches(docs.sparkSession)
+    known, place, n = broadcast_set(benchmark, window, max_windows), place_of(docs, "text"), len(docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            found = [known.value.scan(t)[1] for t in texts] if known is not None else [list(zip(x or (), y or (), strict=True)) for x, y in zip(*(batch.column(k).to_pylist() for k in (-2, -1)), strict=True)]
+            texts = [_without(t, _merged(h)) if h else t for t, h in zip(texts, found, strict=True)]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.string())).select(range(n))
+
+    if known is not None:
+        return docs.mapInArrow(cut, docs.schema)
+    _, hits = _dealt(docs, benchmark, window, most_bits)
+    id_, row_, at_, width_ = (fresh_name(docs, x) for x in ("id", "row", "at", "width"))
+    spans = _spans(hits).where("fresh > 0").groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row_)).agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("stop") - F.col("pos")).alias("w")))).alias("x"))
+    spans = spans.select(id_, row_, F.transform("x", lambda v: v["pos"]).alias(at_), F.transform("x", lambda v: v["w"]).alias(width_))
+    out = docs.join(spans, (row_key() == F.col(row_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left").select(*docs.columns, at_, width_)
+    return out.mapInArrow(cut, docs.schema)
 
 
 ORACLE = """
