@@ -2,7 +2,9 @@
 
 Features are the distinct hashed words, word pairs and pairs that skip one word of a text. Training takes a bounded sample of
 labelled documents: of those outside the held-out fold that have under `max_words` spaces, the `sample` first by a hash of the
-id; only their feature numbers reach the driver. A fifth of the sample isn't trained on but calibrates the cut at 0.5. L1 leaves a few hundred weights, which are broadcast; every whole text is scored.
+id, as far as they have at most `max_features` features together (4 bytes each); only these numbers reach the driver. A fifth of
+the sample isn't trained on but calibrates the cut at 0.5. L1 leaves a few hundred weights, which are broadcast; every whole text
+is scored, very long ones too. `keep_clean` passes on all columns and rows that score under 0.5.
 
 Nulls: a null text is empty and gets the bias alone; a null doc_id counts as '' in the fold; labels that are null are ignored,
 several labels of a document count as their maximum. Without labels of both classes the score is a constant under 0.5.
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import normal_words
-from .shared import durable, small_batches
+from .shared import durable, place_of, small_batches
 
-BITS, SAMPLE, MAX_WORDS, PASSES = 20, 8000, 20_000, 3
+BITS, SAMPLE, MAX_WORDS, MAX_FEATURES, PASSES = 20, 8000, 20_000, 20_000_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 5.0, 1.0
 #: Odd multipliers of the multiply-shift hashes: words, pairs, pairs that skip a word.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -66,7 +68,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, max_features: int = MAX_FEATURES) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, feature numbers, weights)."""
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -83,7 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_words: int
 
     found = rows.select("doc_id", "text", "toxic").mapInArrow(numbers, "doc_id long, toxic int, x binary")
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    data = [(r.toxic, np.frombuffer(r.x, np.int32)) for r in found.orderBy(order, "doc_id", "x").limit(sample).toLocalIterator()]
+    data = []
+    found = durable(found)  # at most 2 * sample documents' numbers; ordered by their sizes alone, then fetched as far as they fit
+    sizes = found.select(order.alias("o"), "doc_id", F.length("x").alias("n"), F.xxhash64("x").alias("h")).orderBy("o", "doc_id", "h").limit(sample).collect()
+    fits = sum(total <= 4 * max_features for total in np.cumsum([r.n for r in sizes], dtype=np.int64))
+    if fits:
+        last = sizes[fits - 1]
+        within = F.struct(order.alias("o"), F.col("doc_id"), F.xxhash64("x").alias("h")) <= F.struct(*(F.lit(last[k]).cast("long").alias(k) for k in ("o", "doc_id", "h")))
+        data = [(r.toxic, np.frombuffer(r.x, np.int32)) for r in sorted(found.where(within).select("toxic", "x", order.alias("o"), "doc_id", F.xxhash64("x").alias("h")).toLocalIterator(), key=lambda r: (r.o, r.doc_id, r.h))]
     positive = sum(y for y, _ in data)
     model = Ftrl((positive + 0.5) / (len(data) + 2))
     if 0 < positive < len(data):
@@ -142,7 +151,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     bias, at, weights = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((bias, at, weights))
-    place = docs.columns.index("text")
+    place = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, at, weights = sent.value

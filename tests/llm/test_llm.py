@@ -64,6 +64,15 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = prose(11, 60), prose(12, 60), prose(13, 60)
+    rows = [(1, a), (5, a), (5, b), (1, a), (1, c), (None, c), (None, None), (None, "solo text of no id"), (None, "solo text of no id"), (9, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, row int, fp int, n int").repartition(3)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (5, b), (1, c), (9, ""), (None, "solo text of no id")], key=str)
+
+
 def test_dense_fingerprints_link_exactly(spark):
     r = np.random.default_rng(3)
     centre = r.integers(0, 2**64, dtype=np.uint64)
@@ -75,7 +84,12 @@ def test_dense_fingerprints_link_exactly(spark):
         fps.add(x)
     fps |= {int(x) for x in r.integers(0, 2**64, 200, dtype=np.uint64)}
     rows = [(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(sorted(fps))]
-    links = [(a.u, a.v) for a in simhash.near_links(spark.createDataFrame(rows, "fp long, rep long"), chunk=64).collect()]
+    table = spark.createDataFrame(rows, "fp long, rep long")
+    links = [(a.u, a.v) for a in simhash.near_links(table, chunk=64).collect()]
+    whole = components({i: {j for a, b in links for i2, j in ((a, b), (b, a)) if i2 == i} for _, i in rows})
+    for blocks in (2, 3):  # longer keys, as larger tables take them, give the same components
+        other = [(a.u, a.v) for a in simhash.near_links(table, chunk=64, blocks=blocks).collect()]
+        assert components({i: {j for a, b in other for i2, j in ((a, b), (b, a)) if i2 == i} for _, i in rows}) == whole
     value = {i: np.uint64(np.int64(f)) if f >= 0 else np.int64(f).view(np.uint64) for f, i in rows}
     assert all(int(value[a] ^ value[b]).bit_count() <= 4 for a, b in links)
     f = simhash.spanning(len(rows), iter((i, np.array([j for j in value if j != i and int(value[i] ^ value[j]).bit_count() <= 4], int)) for i in value if any(j != i and int(value[i] ^ value[j]).bit_count() <= 4 for j in value)))
@@ -105,15 +119,14 @@ def test_copies_of_short_lines_go_and_blank_lines_stay(spark):
 
 def test_lines_do_not_depend_on_the_filter(docs, monkeypatch):
     want = sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str)
-    monkeypatch.setattr(linededup, "_filter", lambda wanted: np.full(4096, 255, np.uint8))  # lets every line through
+    monkeypatch.setattr(linededup, "bit_filter", lambda wanted, most: np.full(4096, 255, np.uint8))  # lets every line through
     assert sorted(map(tuple, linededup.dropped_lines(docs).collect()), key=str) == want
 
 
-def test_filter_holds_all_it_was_given(spark, monkeypatch):
+def test_filter_holds_all_it_was_given(spark):
     for most in (1 << 15, 1 << 20):
-        monkeypatch.setattr(linededup, "MOST_BITS", most)
         h = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
-        bits = linededup._filter(spark.createDataFrame([(int(x),) for x in h], "h long"))
+        bits = linededup.bit_filter(spark.createDataFrame([(int(x),) for x in h], "h long"), most)
         at = h.view(np.uint64) & np.uint64(8 * len(bits) - 1)
         assert (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all() and np.bitwise_count(bits).sum() == len(set(at.tolist()))
 
@@ -128,6 +141,60 @@ def test_hash_sample(spark):
     assert shared.hash_sample(texts.where("false"), texts["text"].startswith("mark"), 50).count() == 0
 
 
+def slow_lines(rows, min_chars=24, tau=2):
+    """(doc_id, text, line, near) of the lines that go, from all pairs of lines; copies of a row are one document."""
+    places = {}
+    keys = {}
+    for d, t in set(rows):
+        keys[d, t] = (d is None, d if d is not None else 0, linededup_key(d, t))
+        for k, x in enumerate(t.split("\n") if t is not None else ()):
+            if len(x) >= min_chars or x.strip(" \t\n\v\f\r"):
+                places.setdefault(x, []).append((keys[d, t], k, d, t))
+    first = {x: min(p)[:2] for x, p in places.items()}
+    near = {x for x in first if len(x) >= min_chars and any(y != x and len(y) >= min_chars and first[y] < first[x] and abs(len(x) - len(y)) <= tau and linededup._small(x, y) <= tau for y in first)}
+    return {(d, t, k, x in near) for x, p in places.items() for key, k, d, t in p if x in near or (key, k) != first[x]}
+
+
+_KEYS = {}
+
+
+def linededup_key(d, t):
+    return _KEYS[d, t]
+
+
+def held_against_brute_force(spark, rows, **how):
+    df = spark.createDataFrame([(*r, "x", "x", "x", 1) for r in rows], "doc_id long, text string, row string, line string, h string, gone int").repartition(3)
+    _KEYS.clear()
+    _KEYS.update({(r.doc_id, r.text): r.k for r in df.select("doc_id", "text", shared.row_key().alias("k")).collect()})
+    text = {(d, k): t for (d, t), k in _KEYS.items()}
+    got = {(r.doc_id, text[r.doc_id, r.row], r.line, r.near) for r in linededup.dropped_lines(df, **how).collect()}
+    assert got == slow_lines(rows)
+    return df, got
+
+
+def test_lines_of_few_letters_against_all_pairs(spark):
+    r = random.Random(7)
+    lines = ["".join(r.choice("ab") for _ in range(r.randrange(22, 30))) for _ in range(60)]
+    lines += ["".join(r.choice(["", c, c, c, c, c, "x"]) for c in r.choice(lines)) for _ in range(60)]
+    lines += ["a" + "-" * n + "b" for n in (28, 29, 30, 31)] + ["c" + "-" * 28 + "d", "ab" * 14, "ab" * 15, "ba" * 14, "-" * 40, "-" * 41, "", " ", "x"]
+    r.shuffle(lines)
+    rows = [(i // 2, "\n".join(r.choice(lines) for _ in range(4))) for i in range(60)]
+    held_against_brute_force(spark, rows)
+    held_against_brute_force(spark, rows, hot=3)  # every key of over three lines is dealt to pair tasks
+
+
+def test_lines_belong_to_rows_not_to_ids(spark):
+    a, b, c = "a line that stands in more than one row", "another text under the same id as that", "c"
+    rows = [(0, a), (1, a), (1, b), (1, a), (None, a), (None, b), (None, f"{c}\n{a}"), (2, None), (2, ""), (3, b + "\n" + c)]
+    df, _ = held_against_brute_force(spark, rows)
+    out = linededup.dedup_lines(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(0, a), (1, ""), (1, ""), (1, b), (None, ""), (None, ""), (None, ""), (2, None), (2, ""), (3, c)], key=str) or got == sorted([(0, a), (1, ""), (1, ""), (1, b), (None, ""), (None, ""), (None, c), (2, None), (2, ""), (3, c)], key=str)
+    report = linededup.line_report(df).collect()
+    assert len(report) == len(rows) and sum(r.n_dropped for r in report if r.doc_id is None) >= 3
+
+
 def test_edit_distance():
     r = random.Random(0)
     for _ in range(3000):
@@ -145,6 +212,57 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(docs).count() > 0
 
 
+def slow_mix(rows, packet, share=1.5, epochs=2):
+    """(doc_id, source, size, u) rows -> what each takes: all packets in one list, cut at the budget."""
+    sources = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in sources}
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), share * sum(size.values())
+    while True:  # who can't use its share gives the rest back
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        full = {s for s in open_ if level * weight[s] >= epochs * size[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = epochs * size[s]
+            left -= target[s]
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    queue = []
+    for k, s in enumerate(sources):
+        at = 0
+        for e in range(epochs):
+            for i in sorted((i for i, r in enumerate(rows) if r[1] == s), key=lambda i: (rows[i][3], rows[i][0] is not None, rows[i][0] or 0, rows[i][2])):
+                for p in range(0, rows[i][2], packet):
+                    n = min(packet, rows[i][2] - p)
+                    at += n
+                    queue.append((at / target[s], k, at, i, n))
+    taken, room = [0] * len(rows), int(share * sum(size.values()))
+    for *_, i, n in sorted(queue):
+        taken[i] += min(n, room)
+        room -= min(n, room)
+    return taken
+
+
+@pytest.mark.parametrize("leaf", [4096, 1 / 4096])
+def test_mixing_is_the_global_order_cut_at_the_budget(spark, leaf, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", leaf)  # the second needs two levels of prefix sums and more
+    r = random.Random(3)
+    rows = [(i if i % 7 else None, " ".join(["w"] * r.randrange(0, 40) + [str(i)]), r.choice(["a", "b", "c", "d", None])) for i in range(90)]
+    rows += [rows[1]] * 9 + [(5, None, "e"), (6, "", "e"), (7, "x " * 300, "f")]
+    df = spark.createDataFrame([(*x, "i", "u", "k", 1) for x in rows], "doc_id long, text string, source string, _id string, u string, k string, TAKEN int")
+    u = [x.u for x in df.select(mixing._digest().alias("u")).collect()]
+    size = [len((t or "").split()) for _, t, _ in rows]
+    want = slow_mix([(d, s, n, x) for (d, _, s), n, x in zip(rows, size, u, strict=True)], 8)
+    got = sorted(((x.doc_id or -1), x["size"], x.taken) for x in mixing.mix(df, packet=8).collect())
+    assert got == sorted((d or -1, n, t) for (d, _, _), n, t in zip(rows, size, want, strict=True))
+    kept = mixing.mixed_documents(df, packet=8)
+    assert {c.lower() for c in kept.columns} == {c.lower() for c in df.columns} | {"finish"}
+    once = {(d, t, s): k for (d, t, s), k in zip(rows, want, strict=True) if rows.count((d, t, s)) == 1}
+    assert all(x.taken == once[x.doc_id, x.text, x.source] for x in kept.collect() if (x.doc_id, x.text, x.source) in once)
+    assert sum(k > 0 for k in once.values()) == sum((x.doc_id, x.text, x.source) in once for x in kept.collect())
+
+
 def slow_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
@@ -163,20 +281,33 @@ def slow_contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 12])
-def test_decontamination(spark, docs, texts, empty, block):
-    items = [(1, " ".join(texts[1].split()[5:30])), (2, "ONE, two!"), (10, None), (11, "..."), (12, " ".join(texts[11].split()[100:111]))]
+@pytest.mark.parametrize("most", [2_000_000, 12])
+def test_decontamination(spark, docs, texts, empty, most):
+    items = [(1, " ".join(texts[1].split()[5:30])), (2, "ONE, two!"), (10, None), (11, "..."), (12, " ".join(texts[11].split()[100:111])), (13, " ".join(texts[1].split()[15:40])), (2, "ONE, two!"), (14, "tau " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contamination(docs, bench, max_windows=block).collect()
-    assert len(out) == docs.count()
-    for r in out:
-        if r.doc_id in texts:
-            assert tuple(r)[1:] == slow_contamination(texts[r.doc_id], items)
-    if block > 12:
-        assert decontaminate.contamination(empty, bench).count() == 0
-        kept = rows_of(decontaminate.remove_documents(docs, bench))
-        assert 1 not in kept and 4 in kept and None in kept
-        assert rows_of(decontaminate.remove_spans(docs, bench))[7].text == ""
+    more = spark.createDataFrame([(None, texts[1], "en", None, 1, "x", "x", "x", "x", "x"), (7, "nothing here", "en", None, 1, "x", "x", "x", "x", "x"), (None, None, None, None, None, None, None, None, None, None)], DOCS)
+    docs = docs.unionByName(more).unionByName(more)
+    want = sorted((str(r.doc_id), *slow_contamination(r.text, items)) for r in docs.collect())
+    out = decontaminate.contamination(docs, bench, max_windows=most, most_bits=1 << 15).collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in out) == want
+    assert decontaminate.contamination(empty, bench, max_windows=most).count() == 0 and decontaminate.contamination(docs, bench.limit(0), max_windows=most).where("contaminated").count() == 0
+    kept = decontaminate.remove_documents(docs, bench, max_windows=most)
+    assert kept.columns == docs.columns
+    clean = sorted(str(tuple(r)) for r in docs.collect() if not slow_contamination(r.text, items)[-1])
+    assert sorted(str(tuple(r)) for r in kept.collect()) == clean  # a row is judged by its own text, with or without an id
+    spans = decontaminate.remove_spans(docs, bench, max_windows=most)
+    assert spans.columns == docs.columns and spans.count() == docs.count()
+    assert sorted(r.text for r in spans.where("doc_id = 7").collect()) == ["", "nothing here", "nothing here"]
+    words = texts[1].split()
+    assert {tuple((r.text or "").split()) for r in spans.where("doc_id = 1").collect()} == {(*words[:5], *words[40:])}
+
+
+def test_window_set_is_small():
+    r = random.Random(0)
+    items = [(str(i), " ".join(f"w{r.randrange(10**6)}" for _ in range(200))) for i in range(500)]
+    held = decontaminate.NgramSet(items)
+    h, place, item = held.windows[10]
+    assert len(h) == 500 * 191 and (h.nbytes + place.nbytes + item.nbytes + len(held.text)) / len(h) < 30
 
 
 def test_toxicity(spark, empty):
