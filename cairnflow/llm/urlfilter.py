@@ -1,13 +1,17 @@
 """URL filters: fixed rules first, then association rules mined by FP-growth over URL tokens.
 
-The fixed rules label the URLs: `block` where a blocking rule decides, `allow` elsewhere (a host nobody has blocked counts as
-allowed evidence). Token sets with their label item go through FP-growth, and rules that conclude a label are kept above a
-confidence and a support, so a combination blocks only if nearly all URLs that have it are blocked. A URL that no fixed rule fits is matched through an inverted
-index (token -> rules); of the rules all of whose tokens it has, the one with the highest confidence, then support, decides,
-and without one it is allowed.
-
-A null url, or one without "://", has an empty host and path, fits no rule and is allowed. Repeated rows each get a row; rows are
-numbered by url, so equal urls are judged once. Empty tables give an empty result. Other columns are ignored.
+The pages that a fixed rule decides are the labelled ones; pages that none decides teach nothing. A labelled page's basket holds its
+tokens without those that the rule itself names (its host's labels and its path's segments), so that what is mined says something
+about other pages instead of repeating the rule. Baskets with their verdict go through FP-growth; rules that conclude a verdict are
+kept above a support and a confidence, and a rule goes if a part of its tokens concludes the same no less surely. Each rule
+is posted under its rarest token only (inverted index), then verified in full; of the rules all of whose tokens an open page has,
+the one with the highest confidence, then support, then fewest tokens decides, and without one the page is allowed.
+`held_out` learns from the pages whose crc32(page_id) mod 5 is not 0 and counts verdicts on the labelled others.
+
+A null url, or one without "://", has an empty host and path, fits no rule and is allowed. Ties of confidence, support and length go
+to the later antecedent by code point, then to block. Repeated rows each get a row; rows are numbered by url, so equal urls are
+judged once. Very long urls are taken whole. Empty tables, and tables without labelled pages, give no mined rules. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,55 +34,79 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, or null."""
+    """struct(rule, verdict, labels, segments) of the longest rule that fits, with the numbers of labels and segments it names, or null."""
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
-    cases = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in ordered]
-    return F.coalesce(*cases) if cases else F.lit(None).cast("struct<rule:string,verdict:string>")
-
-
-def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Items of a URL: labels of the host by place, path segments, extension, query keys, fragment, scheme."""
-    labels = F.split(host, "\\.")
-    top = F.concat(F.lit("top:"), F.element_at(labels, -1))
-    rest = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.concat(F.lit("host:"), x))
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(F.lower(x), "[0-9]+", "0")))
+    cases = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h.count(".") + 1).alias("labels"), F.lit(len([x for x in p.split("/") if x])).alias("segments"))) for h, p, v in ordered]
+    return F.coalesce(*cases) if cases else F.lit(None).cast("struct<rule:string,verdict:string,labels:int,segments:int>")
+
+
+def tokens(url: Column, host: Column, path: Column, labels: Column | None = None, segments: Column | None = None) -> Column:
+    """Items of a URL: labels of the host by place, path segments, query keys, fragment, scheme; without the host's last labels
+    and the path's first segments, as many as told."""
+    labels, segments = (F.coalesce(x, F.lit(0)) if x is not None else F.lit(0) for x in (labels, segments))
+    parts = F.filter(F.split(host, "\\."), lambda x: x != "")
+    top = F.when((labels == 0) & (F.size(parts) > 0), F.array(F.concat(F.lit("top:"), F.element_at(parts, -1)))).otherwise(F.array().cast("array<string>"))
+    rest = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.greatest(labels, F.lit(1)), F.lit(0))), lambda x: F.concat(F.lit("host:"), x))
+    steps = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(F.lower(x), "[0-9]+", "0")))
+    steps = F.slice(steps, segments + 1, F.greatest(F.size(steps) - segments, F.lit(0)))
     query = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit("[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query:"), F.lower(x)))
     other = F.filter(F.array(F.when(url.contains("#"), F.lit("fragment")), F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(url, "^([A-Za-z]+)://", 1)))), lambda x: x.isNotNull())
-    return F.array_distinct(F.concat(F.array(top), rest, parts, query, other))
+    return F.array_distinct(F.concat(top, rest, steps, query, other))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """labelled (items, verdict) -> (rule_id, antecedent, verdict, confidence, support)."""
+    """labelled (items, verdict) -> (rule_id, antecedent, rarest, verdict, confidence, support)."""
     from pyspark.ml.fpm import FPGrowth
 
     baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:")).where(~F.exists("antecedent", lambda x: x.startswith("verdict:")))
     chosen = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("verdict"), "confidence", "support")
-    return chosen.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\x01"), "verdict"))
+    chosen = chosen.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\x01"), "verdict"))
+    often = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
+    posted = chosen.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest"))
+    chosen = durable(chosen.join(posted, "rule_id"))
+    part = chosen.select("rarest", F.col("rule_id").alias("part_id"), F.col("antecedent").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
+    whole = chosen.where("size(antecedent) > 1").select("rule_id", "antecedent", "verdict", "confidence", F.explode("antecedent").alias("rarest"))
+    better = (F.col("verdict") == F.col("part_verdict")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
+    return chosen.join(whole.join(part, "rarest").where(better).select("rule_id").distinct(), "rule_id", "left_anti")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, verdict, mined (the deciding association rule, if any)."""
+def _rows(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).withColumns({"host": host, "path": path})
-    rows = rows.withColumn("fits", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path")))
-    rows = durable(rows.select("page_id", "host", "path", "fits", "items"))
-    labelled = rows.where("host <> ''").select("items", F.coalesce("fits.verdict", F.lit("allow")).alias("verdict"))
-    mined = durable(mine(labelled, support, confidence))
-    index = mined.select("rule_id", F.size("antecedent").alias("needs"), F.explode("antecedent").alias("item"))
-    open_ = rows.where("fits is null and host <> ''").select(F.xxhash64(F.array_join("items", "\x01")).alias("set"), "items").dropDuplicates(["set"])
-    hits = open_.select("set", F.explode("items").alias("item")).join(index, "item").groupBy("set", "rule_id", "needs").agg(F.count(F.lit(1)).alias("has")).where("has = needs")
-    best = hits.join(mined, "rule_id").groupBy("set").agg(F.max(F.struct("confidence", "support", (-F.size("antecedent")).alias("short"), "antecedent", "verdict")).alias("best"))
-    best = durable(best.select("set", F.col("best.verdict").alias("learned"), F.array_join("best.antecedent", " ").alias("mined")))  # read twice
+    rows = rows.withColumn("fits", fixed_rule(F.col("host"), F.col("path"), rules))
+    return rows.withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path"), F.col("fits.labels"), F.col("fits.segments")))
+
+
+def matched(sets: DataFrame, mined: DataFrame) -> DataFrame:
+    """sets (set, items) -> (set, learned, mined): the verdict and antecedent of the deciding rule of each set that has one."""
+    hits = sets.select("set", "items", F.explode("items").alias("rarest")).join(mined, "rarest").where(F.size(F.array_except("antecedent", "items")) == 0)
+    best = hits.groupBy("set").agg(F.max(F.struct("confidence", "support", (-F.size("antecedent")).alias("short"), "antecedent", "verdict")).alias("best"))
+    return best.select("set", F.col("best.verdict").alias("learned"), F.array_join("best.antecedent", " ").alias("mined"))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(verdict, learned, n) on labelled pages of the fold crc32(page_id) mod 5 = 0, by rules mined from the others; learned is null where no rule decides."""
+    fold = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    rows = durable(_rows(pages, rules).where("fits is not null").select("items", "fits.verdict", fold.alias("fold"), F.xxhash64(F.array_join("items", "\x01")).alias("set")))
+    best = matched(rows.where("fold").select("set", "items").dropDuplicates(["set"]), durable(mine(rows.where("not fold"), support, confidence)))
+    return rows.where("fold").join(best, "set", "left").groupBy("verdict", "learned").agg(F.count(F.lit(1)).alias("n"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """pages (page_id, url) -> page_id, host, path, rule, verdict, mined (the deciding association rule, if any)."""
+    rows = durable(_rows(pages, rules).select("page_id", "host", "path", "fits", "items"))
+    mined = durable(mine(rows.where("fits is not null").select("items", "fits.verdict"), support, confidence))
     set_, is_open = F.xxhash64(F.array_join("items", "\x01")), F.col("fits").isNull() & (F.col("host") != "")
-    keyed = rows.withColumns({"open": is_open, "set": F.when(is_open, set_).otherwise(F.xxhash64("page_id"))})  # no pile of null keys
+    best = durable(matched(rows.where(is_open).select(set_.alias("set"), "items").dropDuplicates(["set"]), mined))  # read twice
+    keyed = rows.withColumns({"open": is_open, "set": F.when(is_open, set_).otherwise(F.xxhash64("page_id", "host", "path"))})  # no pile of null keys
     # sets that hold over 1/HOT of the pages, so fewer than HOT of them, are joined by broadcast; the rest by shuffle
     least = rows.count() / HOT
     hot = keyed.where("open").groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("set").join(best, "set", "left")
     hot = F.broadcast(durable(hot.select(F.col("set").alias("hot_set"), F.col("learned").alias("hot_learned"), F.col("mined").alias("hot_mined"))))
     split = keyed.join(hot, F.col("open") & (F.col("set") == F.col("hot_set")), "left")
-    split = split.withColumn("open", F.col("open") & F.col("hot_set").isNull()).withColumn("set", F.when(F.col("hot_set").isNull(), F.col("set")).otherwise(F.xxhash64("page_id")))
+    split = split.withColumn("open", F.col("open") & F.col("hot_set").isNull()).withColumn("set", F.when(F.col("hot_set").isNull(), F.col("set")).otherwise(F.xxhash64("page_id", "host", "path")))
     cold = best.select(F.col("set").alias("cold_set"), "learned", "mined")
     out = split.join(cold, F.col("open") & (F.col("set") == F.col("cold_set")), "left")
     verdict = F.coalesce("fits.verdict", "hot_learned", "learned", F.lit("allow")).alias("verdict")

@@ -450,3 +450,41 @@ def test_urls(spark):
     assert [(got[i].rule, got[i].verdict) for i in (0, 1, 2, 4, 7)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("net/es/", "block"), ("com/", "allow"), ("net/fr/", "block")]
     assert (got[5].host, got[5].path, got[5].rule, got[5].verdict) == ("", "", None, "allow") and got[0].host == "www.example.com"
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_rules_are_mined_from_pages_that_a_fixed_rule_decides(spark):
+    r = random.Random(2)
+    hosts = {"bad.example.net": ("es", "fr"), "good.other.com": ("en", "de"), "mixed.example.com": ("en", "de")}
+    urls = [f"http://{h}/{r.choice(langs)}/{r.randrange(99)}" for h, langs in hosts.items() for _ in range(40)]
+    urls += ["http://bad.example.net/en/7", "http://unseen.example.org/it/7", "https://good.other.org/en/1?q=1", "http://mixed.example.org/xx/1", "http://bad.example.net/en/" + "7" * 50_000, "http://bad.example.net/en/7"]
+    rows = [(i, u, "x", "x", "x", "x", 1) for i, u in enumerate(urls)] + [(None, urls[0], "x", "x", "x", "x", 1), (None, "http://bad.example.net/de/1", "x", "x", "x", "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, set string, fits string, items string, RULE int").repartition(3)
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(rows)
+    by = {x.page_id: x for x in got if x.page_id is not None}
+    n = 120
+    assert [(by[n + i].verdict, by[n + i].mined) for i in (0, 1, 2, 4, 5)] == [("block", "host:bad"), ("allow", None), ("allow", "host:good"), ("block", "host:bad"), ("block", "host:bad")]
+    assert by[n + 3].verdict == "allow" and sorted(x.verdict for x in got if x.page_id is None) == ["block", "block"]
+    counts = {(x.verdict, x.learned): x.n for x in urlfilter.held_out(df).collect()}
+    assert counts[("block", "block")] > 0 and ("allow", "block") not in counts
+
+
+def test_mined_rules_against_a_plain_count(spark):
+    r = random.Random(4)
+    baskets = [([x for x in "abcd" if r.random() < 0.6] or ["a"], r.choice(["block", "block", "allow"])) for _ in range(200)] + [(["e", "f"], "block")] * 30
+    df = spark.createDataFrame(baskets, "items array<string>, verdict string")
+    rules = {tuple(x.antecedent): (x.verdict, round(x.confidence, 9)) for x in urlfilter.mine(df, 0.05, 0.6).collect()}
+    every = {}
+    for k in range(1, 64):
+        items = tuple(x for i, x in enumerate("abcdef") if k >> i & 1)
+        has = [v for b, v in baskets if set(items) <= set(b)]
+        for v in ("block", "allow"):
+            if has and has.count(v) >= 0.05 * len(baskets) and has.count(v) / len(has) >= 0.6:
+                every[items, v] = has.count(v) / len(has)
+    want = {i: (v, round(c, 9)) for (i, v), c in every.items() if not any(set(j) < set(i) and w == v and d >= c for (j, w), d in every.items())}
+    assert rules == want
+    sets = spark.createDataFrame([(k, [x for i, x in enumerate("abcdef") if k >> i & 1]) for k in range(1, 64)], "set long, items array<string>")
+    best = {x.set: x.learned for x in urlfilter.matched(sets, urlfilter.mine(df, 0.05, 0.6)).collect()}
+    for s in sets.collect():
+        fits = [(c, len([1 for b, v in baskets if set(i) <= set(b) and v == w]), -len(i), i, w) for (i, w), c in every.items() if set(i) <= set(s["items"]) and i in want and want[i][0] == w]
+        assert best.get(s.set) == (max(fits)[-1] if fits else None)
