@@ -11,7 +11,7 @@ from . import models, sqlmore, text
 from .sqlops import SQL
 
 #: what the two engines spell differently: (in the text, for Spark, for the oracle)
-DIALECT = ((" AS STRING", " AS STRING", " AS VARCHAR"), ("regexp_like(", "regexp_like(", "regexp_matches("), (" GLOBAL)", ")", ", 'g')"))
+DIALECT = ((" AS STRING", " AS STRING", " AS VARCHAR"), ("regexp_like(", "regexp_like(", "regexp_matches("), (" GLOBAL)", ")", ", 'g')"), ("explode(sequence(", "explode(sequence(", "unnest(generate_series("))
 
 
 def _portable(body: str, oracle: bool = False) -> str:

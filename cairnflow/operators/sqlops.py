@@ -13,12 +13,16 @@ _SERIES = "concat(split_part(title, ' ', 1), ' ', split_part(title, ' ', 2))"
 _MEMBERS = f"{RC}, members AS (SELECT item_id, count(*) AS members, avg(rating) AS mean FROM ratings GROUP BY item_id), items AS (SELECT c.*, coalesce(m.members, 0) AS members, m.mean, {_SERIES} AS series FROM catalog c LEFT JOIN members m ON c.item_id = m.item_id)"
 _LIKED = "liked AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS k FROM ratings)"
 
-#: Centred ratings of users with at most 200 ratings' worth of pairs each; cosine of items over common users
-_SIM = """centred AS (SELECT user_id, item_id, rating - avg(rating) OVER (PARTITION BY user_id) AS r FROM ratings WHERE rating >= 8),
-norms AS (SELECT item_id, sqrt(sum((r + 10) * (r + 10))) AS norm FROM centred GROUP BY item_id),
-pairs AS (SELECT a.item_id AS item_id, b.item_id AS neighbor_id, sum((a.r + 10) * (b.r + 10)) AS dot, count(*) AS common FROM centred a JOIN centred b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id),
-edges AS (SELECT p.item_id, p.neighbor_id, p.common, round(p.dot / (x.norm * y.norm), 6) AS score FROM pairs p JOIN norms x ON p.item_id = x.item_id JOIN norms y ON p.neighbor_id = y.item_id),
-neighbours AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, neighbor_id) AS rank FROM edges) e WHERE rank <= 20)"""
+#: Adjusted cosine over the training fold. Ratings are centred by user and divided by the user's deviation (1 at least);
+#: a pair is summed once and mirrored; negative similarities are clamped and the best 200 neighbours stay. Work is the sum of
+#: the squares of users' numbers of ratings.
+_SIM = """training AS (SELECT r.user_id, r.item_id, r.rating FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train'),
+centred AS (SELECT user_id, item_id, (rating - avg(rating) OVER (PARTITION BY user_id)) / greatest(stddev_pop(rating) OVER (PARTITION BY user_id), 1e0) AS z FROM training),
+norms AS (SELECT item_id, sqrt(sum(z * z)) AS norm FROM centred GROUP BY item_id HAVING sqrt(sum(z * z)) > 1e-8),
+unit AS (SELECT c.user_id, c.item_id, c.z / n.norm AS z FROM centred c JOIN norms n ON c.item_id = n.item_id),
+pairs AS (SELECT a.item_id AS a, b.item_id AS b, round(sum(a.z * b.z), 6) AS score, count(*) AS common FROM unit a JOIN unit b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id),
+edges AS (SELECT a AS item_id, b AS neighbor_id, common, score FROM pairs WHERE score > 0 UNION ALL SELECT b, a, common, score FROM pairs WHERE score > 0),
+neighbours AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, neighbor_id) AS rank FROM edges) e WHERE rank <= 200)"""
 
 SQL: dict[str, str] = {
     # profiling and gates
@@ -59,8 +63,11 @@ SQL: dict[str, str] = {
     "metadata_refresh": f"{C}, fresh AS (SELECT item_id + 20 AS item_id, CASE WHEN item_id % 4 = 0 THEN '' ELSE concat(title, ' new') END AS title FROM catalog) SELECT coalesce(c.item_id, f.item_id) AS item_id, coalesce(nullif(f.title, ''), c.title) AS title, c.item_id IS NULL AS cold_start FROM catalog c FULL OUTER JOIN fresh f ON c.item_id = f.item_id",
     "train_only_items": f"{RS}, {STATS}, {CATALOG} SELECT c.item_id, c.title, CAST(coalesce(s.positives, 0) AS BIGINT) AS members, coalesce(round(s.total * 1e0 / s.observed, 6), 0e0) AS score, coalesce(s.pop_rank, -1) AS pop_rank FROM catalog c LEFT JOIN ranked s ON c.item_id = s.item_id",
     # vectors and neighbours
-    "item_item_cosine_topk": f"{R}, {_SIM} SELECT item_id, neighbor_id, common, score, rank FROM neighbours",
-    "neighbour_vote": f"{R}, {_SIM}, votes AS (SELECT r.user_id, n.neighbor_id AS item_id, sum(n.score) AS vote FROM ratings r JOIN neighbours n ON r.item_id = n.item_id WHERE r.rating = 10 GROUP BY r.user_id, n.neighbor_id) SELECT user_id, item_id, vote, rank FROM (SELECT v.user_id, v.item_id, round(v.vote, 6) AS vote, row_number() OVER (PARTITION BY v.user_id ORDER BY round(v.vote, 6) DESC, v.item_id) AS rank FROM votes v LEFT JOIN ratings k ON v.user_id = k.user_id AND v.item_id = k.item_id WHERE k.item_id IS NULL) x WHERE rank <= 10",
+    "item_item_cosine_topk": f"{RS}, {_SIM} SELECT item_id, neighbor_id, common, score, rank FROM neighbours",
+    "neighbour_vote": f"""{RS}, {_SIM},
+        votes AS (SELECT s.user_id, n.neighbor_id AS item_id, sum(CAST(round(n.score * 1000000) AS BIGINT)) / 1e6 AS vote FROM split s JOIN neighbours n ON s.item_id = n.item_id WHERE s.fold = 'train' GROUP BY s.user_id, n.neighbor_id),
+        placed AS (SELECT v.user_id, v.item_id, v.vote, row_number() OVER (PARTITION BY v.user_id ORDER BY v.vote DESC, v.item_id) AS rank FROM votes v LEFT JOIN training k ON v.user_id = k.user_id AND v.item_id = k.item_id WHERE k.item_id IS NULL)
+        SELECT user_id, item_id, vote, rank FROM placed WHERE rank <= 10""",
     # candidates
     "candidate_union_max": f"{RSTT}, {_LIKED}, two AS (SELECT user_id, item_id, (11 - rank) / 10e0 AS score, 'popular' AS source FROM top UNION ALL SELECT user_id, item_id, (6 - k) / 5e0 AS score, 'liked' AS source FROM liked WHERE k <= 5) SELECT user_id, item_id, max(score) AS score, count(DISTINCT source) AS sources FROM two GROUP BY user_id, item_id",
     "interleave_union": f"{RSTT}, {_LIKED}, two AS (SELECT user_id, item_id, rank AS k, 1 AS source FROM top UNION ALL SELECT user_id, item_id, k, 2 AS source FROM liked WHERE k <= 10), once AS (SELECT user_id, item_id, min(2 * k + source) AS place FROM two GROUP BY user_id, item_id) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM once",

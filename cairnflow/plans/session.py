@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -32,3 +32,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the folder that the session names in spark.checkpoint.dir; a machine-local folder only
+    where all runs in one process."""
+    spark = df.sparkSession
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnflow-"))
+    return df.checkpoint(eager=True)

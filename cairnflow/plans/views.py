@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .rank import global_rank
+from .session import durable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
@@ -23,20 +28,35 @@ split AS (SELECT user_id, item_id, rating, n, CASE WHEN rn <= v THEN 'validation
 STATS = """stats AS (SELECT r.item_id, sum(CASE WHEN s.fold = 'train' THEN 1 ELSE 0 END) AS positives, count(*) AS observed, sum(r.rating) AS total FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train' GROUP BY r.item_id),
 ranked AS (SELECT *, row_number() OVER (ORDER BY positives DESC, item_id) AS pop_rank, count(*) OVER () AS n_items FROM stats),
 bucketed AS (SELECT *, CASE WHEN pop_rank <= ceil(n_items * 2e-1) THEN 'head' WHEN pop_rank <= ceil(n_items * 5e-1) THEN 'mid' ELSE 'tail' END AS bucket FROM ranked)"""
-#: Popularity top-10 of what a user hasn't seen. A user who knows m items finds ten among the first 10 + m, so the
-#: join is with that short prefix of the ranking, not with the catalogue.
-TOP10 = """known AS (SELECT r.user_id, r.item_id FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train'),
+def _top(name: str, ranking: str, place: str) -> str:
+    """Top ten of what a user hasn't seen, by a ranking with places 1, 2, ...: a user who knows m items finds ten among the first
+    10 + m places, so these places are listed and joined by equality; the work is in proportion to what users know."""
+    return f"""pool_{name} AS (SELECT user_id, explode(sequence(1, 10 + m)) AS place FROM reach),
+unseen_{name} AS (SELECT p.user_id, h.item_id, h.{place} AS place FROM pool_{name} p JOIN {ranking} h ON h.{place} = p.place LEFT JOIN known k ON p.user_id = k.user_id AND h.item_id = k.item_id WHERE k.item_id IS NULL),
+{name} AS (SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM unseen_{name}) x WHERE rank <= 10)"""
+
+
+#: what users know at evaluation, who is evaluated, and how much each knows
+KNOWN = """known AS (SELECT r.user_id, r.item_id FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train'),
 evaluated AS (SELECT user_id, count(*) AS relevant FROM split WHERE fold = 'test' GROUP BY user_id),
-reach AS (SELECT e.user_id, e.relevant, count(k.item_id) AS m FROM evaluated e LEFT JOIN known k ON e.user_id = k.user_id GROUP BY e.user_id, e.relevant),
-heads AS (SELECT item_id, pop_rank FROM ranked WHERE pop_rank <= 10 + (SELECT max(m) FROM reach)),
-pool AS (SELECT u.user_id, h.item_id, h.pop_rank FROM reach u JOIN heads h ON h.pop_rank <= 10 + u.m),
-unseen AS (SELECT p.user_id, p.item_id, p.pop_rank FROM pool p LEFT JOIN known k ON p.user_id = k.user_id AND p.item_id = k.item_id WHERE k.item_id IS NULL),
-top AS (SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY pop_rank) AS rank FROM unseen) x WHERE rank <= 10)"""
-#: Binary metrics per user; the ideal has min(relevant, 10) hits
-METRICS = """ideal AS (SELECT k, sum(1 / log2(i + 1)) AS idcg FROM (SELECT a.pop_rank AS k, b.pop_rank AS i FROM ranked a JOIN ranked b ON b.pop_rank <= a.pop_rank WHERE a.pop_rank <= 10) y GROUP BY k),
-hits AS (SELECT t.user_id, sum(1 / log2(t.rank + 1)) AS dcg, count(*) AS hits, min(t.rank) AS first FROM top t JOIN split s ON t.user_id = s.user_id AND t.item_id = s.item_id AND s.fold = 'test' GROUP BY t.user_id),
-metrics AS (SELECT e.user_id, e.relevant, coalesce(h.dcg, 0e0) / i.idcg AS ndcg10, coalesce(h.hits, 0) * 1e0 / e.relevant AS recall10, CASE WHEN h.hits > 0 THEN 1e0 ELSE 0e0 END AS hit10, coalesce(1e0 / h.first, 0e0) AS mrr10
-  FROM evaluated e JOIN ideal i ON i.k = least(e.relevant, 10) LEFT JOIN hits h ON h.user_id = e.user_id)"""
+reach AS (SELECT e.user_id, e.relevant, count(k.item_id) AS m FROM evaluated e LEFT JOIN known k ON e.user_id = k.user_id GROUP BY e.user_id, e.relevant)"""
+#: Popularity top-10 of what a user hasn't seen
+TOP10 = f"""{KNOWN}, {_top("top", "ranked", "pop_rank")}"""
+#: the same by Bayesian quality
+QUALITY10 = f"""mean AS (SELECT sum(total) * 1e0 / sum(observed) AS mu FROM stats),
+by_quality AS (SELECT s.item_id, row_number() OVER (ORDER BY round((s.total + 50 * m.mu) / (s.observed + 50), 9) DESC, s.item_id) AS quality_rank FROM stats s, mean m), {_top("best", "by_quality", "quality_rank")}"""
+
+
+def metrics(name: str, top: str) -> str:
+    """Binary metrics per user; the ideal has min(relevant, 10) hits."""
+    return f"""hits_{name} AS (SELECT t.user_id, sum(1 / log2(t.rank + 1)) AS dcg, count(*) AS hits, min(t.rank) AS first FROM {top} t JOIN split s ON t.user_id = s.user_id AND t.item_id = s.item_id AND s.fold = 'test' GROUP BY t.user_id),
+{name} AS (SELECT e.user_id, e.relevant, coalesce(h.dcg, 0e0) / i.idcg AS ndcg10, coalesce(h.hits, 0) * 1e0 / e.relevant AS recall10, CASE WHEN h.hits > 0 THEN 1e0 ELSE 0e0 END AS hit10, coalesce(1e0 / h.first, 0e0) AS mrr10
+  FROM evaluated e JOIN ideal i ON i.k = least(e.relevant, 10) LEFT JOIN hits_{name} h ON h.user_id = e.user_id)"""
+
+
+#: DCG of k hits at the first k places
+IDEAL = "ideal AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, CAST('{sum(1 / math.log2(i + 1) for i in range(1, k + 1))!r}' AS DOUBLE) AS idcg" for k in range(1, 11)) + ")"
+METRICS = f"""{IDEAL}, {metrics("metrics", "top")}"""
 
 
 def bind(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
@@ -45,6 +65,27 @@ def bind(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def _written(spark: SparkSession, text: str) -> str:
+    """Writes the ratings, the split and the ranked statistics once, if a text builds on the split, and takes their definitions
+    out of the text: everything else of it reads what was written, instead of computing it wherever it is named."""
+    if f"{RATINGS}, {SPLIT}" not in text:
+        return text
+    durable(spark.sql(f"WITH {RATINGS} SELECT * FROM ratings")).createOrReplaceTempView("ratings")
+    durable(spark.sql(f"WITH {SPLIT} SELECT * FROM split")).createOrReplaceTempView("split")
+    left = text.replace(f"{RATINGS}, {SPLIT}", "")
+    if "FROM classed" in left or "FROM ordered" in left or "JOIN ordered" in left:  # what the split was made of is asked for too
+        left = text.replace(f"{RATINGS}, {SPLIT}", SPLIT.rpartition("split AS (")[0].rstrip().removesuffix(","))
+    if STATS in left:
+        stats = spark.sql(f"WITH {STATS.split('ranked AS (')[0].rstrip().removesuffix(',')} SELECT * FROM stats")
+        ranked = global_rank(stats, [F.desc("positives"), F.asc("item_id")], "pop_rank", "n_items")
+        ranked.createOrReplaceTempView("ranked")
+        spark.table("ranked").drop("pop_rank", "n_items").createOrReplaceTempView("stats")
+        spark.sql(STATS.partition("bucketed AS (")[2].removesuffix(")")).createOrReplaceTempView("bucketed")
+        left = left.replace(STATS, "")
+    left = re.sub(r"(,\s*)+", ", ", re.sub(r"^WITH[\s,]+", "WITH ", left))
+    return re.sub(r"^WITH\s+SELECT", "SELECT", left)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     bind(spark, sf_dir, text)
-    return spark.sql(text)
+    return spark.sql(_written(spark, text))

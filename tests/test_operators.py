@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnflow.functions import scalar as S
-from cairnflow.operators import models, registry
+from cairnflow.operators import models, registry, text
+from cairnflow.plans.views import RATINGS, SPLIT, run_sql
 from cairnflow.sources import tables
 from cairnflow.streaming import state
 
@@ -50,23 +51,74 @@ def test_scalars(spark):
 
 def test_planted_clusters(spark):
     likes = [(u, i) for u in (1, 2, 3) for i in (1, 2, 3)] + [(u, i) for u in (4, 5, 6) for i in (4, 5, 6)]
-    likes.remove((1, 3))
-    items = dict(models.train_als(spark.createDataFrame(likes, "user_id long, item_id long"), 5, 4).collect())
-    dot = lambda a, b: sum(x * y for x, y in zip(items[a], items[b], strict=True))
-    assert dot(1, 3) > dot(1, 4) and dot(4, 6) > dot(4, 3)
+    items = models.train_als(spark.createDataFrame(likes, "user_id long, item_id long"), 30, 8, 40.0, 0.01)
+    asked = spark.createDataFrame([(9, [1, 2]), (10, [6])], "user_id long, seen array<long>")
+    got = models.fold_in(asked, items, 3, 40.0, 0.01).collect()
+    assert {(r.user_id, r.rank): r.item_id for r in got}[9, 1] == 3 and {r.item_id for r in got if r.user_id == 10 and r.rank <= 2} == {4, 5}
+    assert not {(r.user_id, r.item_id) for r in got} & {(9, 1), (9, 2), (10, 6)}
 
 
-def test_item_half_step_equals_the_closed_form(spark):
+def test_fold_in_equals_the_closed_form_in_one_block_and_in_many(spark, monkeypatch):
     r = np.random.default_rng(5)
-    pairs = sorted({(int(u), int(i)) for u, i in zip(r.integers(0, 40, 300), r.integers(0, 9, 300), strict=True)})
-    y, ids = r.normal(size=(9, 4)), np.arange(9)
-    users = models.solve_users(spark.createDataFrame(pairs, "user_id long, item_id long").repartition(3), y, ids)
-    x = {u: np.array(v) for u, v in users.select("user_id", "vec").collect()}
-    all_ = np.array(list(x.values()))
-    for item, got in models.solve_items(users, 4).collect():
-        mine = np.array([x[u] for u, i in pairs if i == item])
-        want = np.linalg.solve(all_.T @ all_ + models.REG * np.eye(4) + models.ALPHA * mine.T @ mine, models.ALPHA * mine.sum(0))
-        assert np.allclose(got, want)
+    y = r.normal(size=(30, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "item_id long, vec array<double>").repartition(3)
+    seen = {u: sorted(set(r.integers(0, 30, 6).tolist())) for u in range(12)}
+    asked = spark.createDataFrame(list(seen.items()), "user_id long, seen array<long>")
+    want = {}
+    for u, s in seen.items():
+        x = np.linalg.solve(y.T @ y + models.REG * np.eye(4) + models.ALPHA * y[s].T @ y[s], models.ALPHA * y[s].sum(0))
+        want[u] = sorted((i for i in range(30) if i not in s), key=lambda i: (-round(y[i] @ x, 9), i))[:5]
+    for most in (1 << 30, 200):
+        monkeypatch.setattr(models, "MOST_SENT", most)
+        got = sorted((g.user_id, g.rank, g.item_id) for g in models.fold_in(asked, items, 5).collect())
+        assert got == sorted((u, k, i) for u, ids in want.items() for k, i in enumerate(ids, 1))
+
+
+def test_bootstrap_interval(spark):
+    d = np.random.default_rng(1).normal(0.1, 1, 400)
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)], "user_id long, d double")
+    means = [[m.mean for m in models.bootstrap_means(x).orderBy("b").collect()] for x in (rows, rows.repartition(5))]
+    assert np.allclose(*means) and len(means[0]) == 2000
+    assert abs(np.mean(means[0]) - d.mean()) < 0.01 and abs(np.std(means[0]) - d.std() / 20) < 0.005
+
+
+def test_user_projection_follows_splitmix64(spark):
+    mask, got = (1 << 64) - 1, spark.createDataFrame([(1,), (2**40 + 7,)], "user_id long").select("user_id", models.user_projection()("user_id").alias("p")).collect()
+    for r in got:
+        for k, p in enumerate(r.p):
+            x = (r.user_id * 0x9E3779B185EBCA87 + (k + 1) * 0xC2B2AE3D27D4EB4F) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            x ^= x >> 31
+            assert (p.cell, p.sign) == (x % 128 + 128 * k, -1 if x >> 32 & 1 else 1)
+
+
+def test_fuzzy_best_against_all_pairs(spark):
+    import difflib
+
+    names = ["almond steel", "almond metal", "blue ring", "green almond box", "rose water", "blue rang"]
+    asked = ["almund steel", "blue rinng", "gren almond bx", "zzz"]
+    got = {r.query_id: r.item_id for r in text.fuzzy_best(spark.createDataFrame(list(enumerate(names)), "item_id long, name string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")).collect()}
+    assert got == {q: max(range(len(names)), key=lambda i: difflib.SequenceMatcher(None, names[i], x).ratio()) for q, x in enumerate(asked) if x != "zzz"}
+
+
+def test_adjusted_cosine_by_brute_force(spark):
+    ratings = spark.sql("select * from values (1)").count() and registry.QUERIES["split_rows"](spark, SF).collect()
+    assert ratings
+    rows = run_sql(spark, SF, f"WITH {RATINGS}, {SPLIT} SELECT r.user_id, r.item_id, r.rating FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train'").collect()
+    users, items = ({v: k for k, v in enumerate(sorted({r[j] for r in rows}))} for j in (0, 1))
+    m, has = np.zeros((len(users), len(items))), np.zeros((len(users), len(items)), bool)
+    for r in rows:
+        m[users[r.user_id], items[r.item_id]], has[users[r.user_id], items[r.item_id]] = r.rating, True
+    for u in range(len(users)):
+        own = m[u, has[u]].astype(float)
+        m[u, has[u]] = (own - own.mean()) / max(own.std(), 1.0)
+    unit = m / np.where((n := np.sqrt((m * m).sum(0))) > 1e-8, n, 1)
+    s = np.round(unit.T @ unit, 4)
+    got = {(r.item_id, r.neighbor_id): r.score for r in registry.QUERIES["item_item_cosine_topk"](spark, SF).collect()}
+    back = {v: k for k, v in items.items()}
+    assert all(abs(s[items[a], items[b]] - x) < 1e-3 for (a, b), x in got.items())
+    assert sum((s[i, j] > 1e-3 and i != j) and (back[i], back[j]) not in got for i in range(len(items)) for j in range(len(items))) <= sum(max(0, int((s[i] > 0).sum()) - 201) for i in range(len(items)))
 
 
 def test_ratings_sources(spark, tmp_path):
