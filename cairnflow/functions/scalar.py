@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 #: What counts as no value, marks of wrongly decoded text, and words that carry no meaning in a title.
 UNKNOWN = ("", "unknown", "nan", "none")
-MOJIBAKE = "(Ã|Â|â€|�)"
-STOPWORDS = ("a", "an", "and", "the", "of", "in", "on", "to", "for", "with", "is", "by", "at", "from", "or")
+MOJIBAKE = "[ÃÂâð�]"
+STOPWORDS = tuple("a an and are as at be by for from has in into is it its anime like liked next of on or recommend recommendation recommendations series show shows that the their this to watch with".split())
 
 
 def to_float(x: Column) -> Column:

@@ -52,14 +52,3 @@ def enrich(archive: DataFrame, legacy: DataFrame) -> DataFrame:
     old = legacy.select("item_id", F.col("score").alias("old_score"), F.col("rank").alias("old_rank"), F.col("members").alias("old_members"))
     both = archive.join(old, "item_id", "left").withColumns({"score": F.coalesce("old_score", "score"), "rank": F.coalesce("old_rank", "rank"), "members": F.greatest("members", "old_members")})
     return both.drop("old_score", "old_rank", "old_members").unionByName(legacy.join(archive, "item_id", "left_anti"), allowMissingColumns=True)
-
-
-def ids_digest(df: DataFrame, id_: str) -> DataFrame:
-    """SHA-256 over the sorted ids, each ended by a line feed: partial digests of id ranges of 100,000 are combined in order."""
-    part = df.select(F.col(id_).cast("long").alias("id")).distinct().groupBy(F.floor(F.col("id") / 100000).alias("r")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: F.concat(x.cast("string"), F.lit("\n"))), "").cast("binary"), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    """Replaces a table through Spark's commit protocol."""
-    df.write.mode("overwrite").parquet(path)
