@@ -61,6 +61,7 @@ class _Shapes(dict):
 
 
 _SHAPES, _REPEAT, _PLAIN_HEX = _Shapes(), re.compile(r"(.)\1+"), re.compile("[0-9a-f]+")
+_SINGLE, _LETTERS = ("a", "A", "9", "u", ""), set("aA9u")
 _AROUND = "\"'=:;,.()[]{}<>#&%$*!|`"
 #: What stands around a secret: quotes and brackets, a name with a sign of assignment, a trailing mark.
 _NAMED = re.compile(r"""^["'({\[<`]*(?:[A-Za-z0-9_.-]{1,40}["']?(?::=|=>|[=:]))?["'({\[<`]*""")
@@ -68,12 +69,14 @@ _NAMED = re.compile(r"""^["'({\[<`]*(?:[A-Za-z0-9_.-]{1,40}["']?(?::=|=>|[=:]))?
 
 def token_features(token: str) -> tuple[str, ...]:
     """Shape, length, character classes and their changes, first characters, and the bare word if it is short."""
-    value = token[_NAMED.match(token).end() :].strip(_AROUND) or token.strip(_AROUND)
+    value = token.strip(_AROUND)
+    if not value.isalnum():  # else the name before a sign, if any, is all that there is
+        value = token[_NAMED.match(token).end() :].strip(_AROUND) or value
     shape = value.translate(_SHAPES)
-    short = _REPEAT.sub(r"\1", shape)
+    short = shape[:1] if shape.count(shape[:1]) == len(shape) else _REPEAT.sub(r"\1", shape)
     n, digits, changes = len(value), shape.count("9"), len(short)
     size = (n >= 4) + (n >= 8) + (n >= 12) + (n >= 16) + (n >= 24) + (n >= 40)
-    mix = "".join(k for k in "aA9u" if k in shape) + ("+" if any(k not in "aA9u" for k in short) else "")
+    mix = short if short in _SINGLE else "".join([k for k in "aA9u" if k in short]) + ("+" if set(short) - _LETTERS else "")
     rate = (5 * changes > n) + (3 * changes > n) + (2 * changes > n) if n else 0
     named = "=" if value and len(token) > n and token.find(value) > 0 and token[token.find(value) - 1] in "=:>\"'" else ""
     first = "p=" + value[:4] if size >= 3 and mix not in ("a", "Aa", "u", "au", "aAu", "9") else "p="
@@ -97,7 +100,7 @@ class Field:
     def classes(self, tokens: list[str]) -> np.ndarray:
         """Numbers of the tokens' classes: tokens with equal known features share one."""
         cache, out = self.cache, np.empty(len(tokens), np.int64)
-        if len(cache) > 300_000:
+        if len(cache) > 600_000:
             cache.clear()
         for i, t in enumerate(tokens):
             k = cache.get(t)
