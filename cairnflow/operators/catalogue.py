@@ -12,7 +12,7 @@ from ..functions import labels as L
 from ..functions import scalar as S
 from ..plans.rank import global_rank
 from ..plans.session import durable
-from ..plans.views import CATALOG, QUALITY10, RATINGS, SPLIT, STATS, TOP10, run_sql
+from ..plans.views import CATALOG, KNOWN, METRICS20, RATINGS, SPLIT, STATS, TOP10, run_sql
 from ..sources.artifacts import ids_digest, story_digest
 from . import sqlops
 from .text import fuzzy_best
@@ -162,7 +162,60 @@ def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("rank", place).where("rank <= 10").select("user_id", "item_id", "source", "score", "rank")
 
 
-_F = (metadata_tokens, label_lists, date_ranges, role_names, series_keys, turn_themes, studio_credits, answer_objects, cursors, catalog_ids_digest, catalog_story_digest, quality_rank, feed_batches, appended_events, random_model, entity_resolution, fast_path)
+def ndcg_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's metrics of the popularity ranking at 10 and 20."""
+    m = run_sql(spark, sf_dir, f"WITH {RATINGS}, {SPLIT}, {STATS}, {KNOWN}, {METRICS20} SELECT * FROM metrics20")
+    return m.select("user_id", "relevant", *(F.round(c, 6).alias(c) for c in ("ndcg10", "ndcg20", "recall10", "recall20", "hit10", "mrr20")))
+
+
+def profile_size_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the item-item ranking from a user's first 1, 3, 5 and 10 training likes in the order of a digest; of users with as many."""
+    likes = f"""likes AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat('42:', CAST(user_id AS STRING), ':', CAST(item_id AS STRING))), item_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM split WHERE fold = 'train')"""
+    asked = durable(run_sql(spark, sf_dir, f"""WITH {RATINGS}, {SPLIT}, {STATS}, {sqlops._SIM}, {likes},
+        sizes AS (SELECT explode(array(1, 3, 5, 10)) AS size)
+        SELECT z.size, l.user_id, n.neighbor_id AS item_id, sum(CAST(round(n.score * 1000000) AS BIGINT)) AS vote FROM likes l JOIN sizes z ON l.k <= z.size AND l.n >= z.size JOIN neighbours n ON l.item_id = n.item_id GROUP BY z.size, l.user_id, n.neighbor_id"""))
+    facts = run_sql(spark, sf_dir, f"WITH {RATINGS}, {SPLIT} SELECT user_id, item_id, fold FROM split")
+    known = run_sql(spark, sf_dir, f"WITH {RATINGS}, {SPLIT} SELECT r.user_id, r.item_id FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train'")
+    held = facts.groupBy("user_id").agg(F.count_if(F.col("fold") == "train").alias("n"), F.count_if(F.col("fold") == "test").alias("relevant")).where("relevant > 0")
+    users = held.withColumn("size", F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))).where("n >= size")
+    place = F.row_number().over(W.partitionBy("size", "user_id").orderBy(F.desc("vote"), "item_id"))
+    top = asked.join(known, ["user_id", "item_id"], "left_anti").withColumn("rank", place).where("rank <= 10")
+    hits = top.join(facts.where("fold = 'test'"), ["user_id", "item_id"]).groupBy("size", "user_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.count(F.lit(1)).alias("hits"))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("relevant", F.lit(10))), F.lit(0.0), lambda a, x: a + 1 / F.log2(x + 1))
+    per = users.join(hits, ["size", "user_id"], "left").select("size", (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.coalesce("hits", F.lit(0)) / F.col("relevant")).alias("recall"), F.col("hits").isNotNull().cast("int").alias("hit"))
+    return per.groupBy("size").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("ndcg"), 6).alias("ndcg10"), F.round(F.avg("recall"), 6).alias("recall10"), F.round(F.avg("hit"), 6).alias("hit10"))
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("person_id")).distinct()
+
+
+def required_all_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that hold all required studios, by normalised name; an item's studios are its suppliers' nations."""
+    asked = ["  nation_1", "NATION_2", "nation 3"]
+    nations = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("person_id"), F.concat(F.lit("nation "), "n_nationkey").alias("studio"))
+    held = _people(spark, sf_dir).join(nations, "person_id").groupBy("item_id").agg(F.collect_set(S.slug(F.col("studio"))).alias("studios"))
+    return held.where(F.size(F.array_except(F.array(*(S.slug(F.trim(F.lit(x))) for x in asked)), "studios")) == 0).select("item_id", F.size("studios").cast("long").alias("studios"))
+
+
+def required_person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in which every one of the required people takes part, given by id or by a variant of the name."""
+    people = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person_id"), F.explode(S.name_variants(F.col("s_name"))).alias("key"))
+    asked = spark.range(1).select(F.explode(F.array(F.lit("SUPPLIER 000000003"), F.lit("000000005, Supplier#"))).alias("asked"))
+    asked = asked.select("asked", F.explode(S.name_variants(F.col("asked"))).alias("key")).join(people, "key").select("asked", "person_id")
+    asked = asked.unionByName(spark.range(1).select(F.lit("id 7").alias("asked"), F.lit(7).cast("long").alias("person_id"))).distinct()
+    found = _people(spark, sf_dir).join(asked, "person_id").groupBy("item_id").agg(F.count_distinct("asked").alias("matched"))
+    return found.where("matched = 3")
+
+
+def adult_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items stay unless one of their genres is the refused one, in any capitals, or their content rating begins with rx."""
+    rating = F.when(F.col("item_id") % 7 == 0, "RX - over 18").when(F.col("item_id") % 5 == 0, "R - rx named").otherwise(F.lit(None).cast("string"))
+    refused = F.exists(F.split("type", " "), lambda g: F.lower(g) == "brass") | F.coalesce(F.lower(rating).startswith("rx"), F.lit(False))
+    return _catalog(spark, sf_dir).where(~F.coalesce(refused, F.lit(False))).select("item_id", "type")
+
+
+_F = (metadata_tokens, label_lists, date_ranges, role_names, series_keys, turn_themes, studio_credits, answer_objects, cursors, catalog_ids_digest, catalog_story_digest, quality_rank, feed_batches, appended_events, random_model, entity_resolution, fast_path, ndcg_per_user, profile_size_curve, required_all_of, required_person_names, adult_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _F}
 
 _PARTS = "c AS (SELECT p_partkey AS item_id, p_name AS title, p_brand AS studio, p_type AS type, p_size AS episodes, round(p_retailprice / 200, 4) AS score, 1950 + p_partkey % 75 AS year FROM part)"
@@ -209,4 +262,24 @@ ORACLES: dict[str, str] = {
         y AS (SELECT n.u, n.i, source, round(0.9::DOUBLE * s + 0.1::DOUBLE * quality / 10, 6) AS blend, array_to_string(list_filter(string_split(lower(title), ' '), lambda x: NOT list_contains([{_STOP}], x)), ' ') AS series
               FROM n JOIN c ON c.item_id = n.i JOIN q ON q.i = n.i WHERE episodes <= 40 AND year >= 1955 AND NOT EXISTS (SELECT 1 FROM tr WHERE tr.u = n.u AND tr.i = n.i) QUALIFY row_number() OVER (PARTITION BY n.u, series ORDER BY blend DESC, n.i) = 1)
         SELECT u AS user_id, i AS item_id, source, blend AS score, row_number() OVER (PARTITION BY u ORDER BY blend DESC, i) AS rank FROM y QUALIFY rank <= 10""",
+    "ndcg_per_user": f"""WITH {_FOLDS}, k AS (SELECT i, row_number() OVER (ORDER BY likes DESC, i) AS k FROM q), e AS (SELECT u, count(*) AS rel FROM f WHERE fold = 't' GROUP BY u),
+        o AS (SELECT e.u, k.i, row_number() OVER (PARTITION BY e.u ORDER BY k.k) AS rank FROM e, k WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.u = e.u AND tr.i = k.i)),
+        h AS (SELECT o.u, o.rank FROM o JOIN f ON f.u = o.u AND f.i = o.i AND f.fold = 't' WHERE o.rank <= 20)
+        SELECT e.u AS user_id, rel AS relevant, round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(rel, 10) + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg10,
+          round(coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(rel, 20) + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg20, round(count(rank) FILTER (rank <= 10) / rel, 6) AS recall10, round(count(rank) / rel, 6) AS recall20,
+          CASE WHEN count(rank) FILTER (rank <= 10) > 0 THEN 1.0 ELSE 0.0 END AS hit10, round(coalesce(1 / min(rank), 0), 6) AS mrr20 FROM e LEFT JOIN h ON e.u = h.u GROUP BY e.u, rel""",
+    "profile_size_curve": f"""WITH {_FOLDS},
+        z AS (SELECT u, i, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1) AS z FROM tr WINDOW w AS (PARTITION BY u)), m AS (SELECT i, sqrt(sum(z * z)) AS m FROM z GROUP BY i HAVING sqrt(sum(z * z)) > 1e-8),
+        s AS (SELECT a.i AS i, b.i AS j, round(sum(a.z / ma.m * b.z / mb.m), 6) AS s FROM z a JOIN z b ON a.u = b.u AND a.i <> b.i JOIN m ma ON ma.i = a.i JOIN m mb ON mb.i = b.i GROUP BY a.i, b.i),
+        g AS (SELECT i, j, s FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 200),
+        l AS (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY md5('42:' || u || ':' || i), i) AS k, count(*) OVER (PARTITION BY u) AS n FROM f WHERE fold = 'l'),
+        c AS (SELECT u, count(*) FILTER (fold = 'l') AS n, count(*) FILTER (fold = 't') AS rel FROM f GROUP BY u), y AS (SELECT size, u, rel FROM c, (SELECT unnest([1, 3, 5, 10]) AS size) WHERE n >= size AND rel > 0),
+        v AS (SELECT y.size, y.u, j, sum(CAST(round(s * 1000000) AS BIGINT)) AS v FROM y JOIN l ON l.u = y.u AND l.k <= y.size JOIN g ON g.i = l.i GROUP BY y.size, y.u, j),
+        o AS (SELECT size, u, j, row_number() OVER (PARTITION BY size, u ORDER BY v DESC, j) AS rank FROM v WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.u = v.u AND tr.i = v.j) QUALIFY rank <= 10),
+        h AS (SELECT size, o.u, sum(1 / log2(rank + 1)) AS dcg, count(*) AS hits FROM o JOIN f ON f.u = o.u AND f.i = o.j AND f.fold = 't' GROUP BY size, o.u)
+        SELECT y.size, count(*) AS users, round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(rel, 10) + 1), lambda x: 1 / log2(x + 1)))), 6) AS ndcg10, round(avg(coalesce(hits, 0) / rel), 6) AS recall10, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit10
+        FROM y LEFT JOIN h ON h.size = y.size AND h.u = y.u GROUP BY y.size""",
+    "required_all_of": "SELECT l_partkey AS item_id, count(DISTINCT s_nationkey) AS studios FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey HAVING count(DISTINCT s_nationkey) FILTER (s_nationkey IN (1, 2, 3)) = 3",
+    "required_person_names": "SELECT l_partkey AS item_id, count(DISTINCT l_suppkey) AS matched FROM lineitem WHERE l_suppkey IN (3, 5, 7) GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 3",
+    "adult_filter": "SELECT p_partkey AS item_id, p_type AS type FROM part WHERE p_partkey % 7 <> 0 AND NOT regexp_matches(p_type, '(?i)(^| )brass( |$)')",
 }

@@ -32,11 +32,9 @@ SQL: dict[str, str] = {
     "truncated_texts": "SELECT doc_id, CASE WHEN length(text) > 220 THEN concat(rtrim(substr(text, 1, 217)), '...') ELSE text END AS short FROM documents",
     # filters (P3-P5, P7-P13)
     "required_people": f"WITH {_CAST}, {CATALOG}, req AS (SELECT s_suppkey AS person_id FROM supplier WHERE s_suppkey <= 2) SELECT c.item_id, c.title FROM catalog c JOIN (SELECT p.item_id FROM people p JOIN req q ON p.person_id = q.person_id GROUP BY p.item_id HAVING count(*) = (SELECT count(*) FROM req)) x ON c.item_id = x.item_id",
-    "required_person_names": f"WITH {_CAST}, actors AS (SELECT s_suppkey AS person_id, lower(replace(s_name, '#', ' ')) AS key FROM supplier), req AS (SELECT key FROM actors WHERE person_id IN (3, 5, 7)), hit AS (SELECT p.item_id, a.key FROM people p JOIN actors a ON p.person_id = a.person_id JOIN req r ON a.key = r.key) SELECT item_id, count(DISTINCT key) AS matched FROM hit GROUP BY item_id",
     "family_filter": f"{C}, items AS (SELECT item_id, title, {_SERIES} AS series FROM catalog) SELECT item_id, series FROM items WHERE series IN (SELECT series FROM items WHERE item_id % 97 = 1) AND series NOT IN (SELECT series FROM items WHERE item_id % 89 = 2)",
     "title_exclusion": f"{C}, q AS (SELECT DISTINCT lower(title) AS wanted FROM catalog WHERE item_id % 200 = 5 UNION ALL SELECT 'no such title' AS wanted) SELECT q.wanted, count(c.item_id) AS excluded, count(c.item_id) = 0 AS missed FROM q LEFT JOIN catalog c ON lower(c.title) = q.wanted GROUP BY q.wanted",
     "eligibility_recheck": f"{RSTT}, {CATALOG} SELECT t.user_id, count(*) AS shown, count_if(c.score >= 5 AND c.year >= 1960) AS eligible FROM top t LEFT JOIN catalog c ON t.item_id = c.item_id GROUP BY t.user_id",
-    "adult_filter": f"{C} SELECT item_id, type FROM catalog WHERE NOT (coalesce(type, '') LIKE '%BRASS' OR coalesce(lower(title), '') LIKE 'rx%')",
     "public_projection": f"WITH {_CAST}, {CATALOG}, cut AS (SELECT item_id, person_id, row_number() OVER (PARTITION BY item_id ORDER BY person_id) AS k FROM people) SELECT c.item_id, c.title, c.studio, max(CASE WHEN k = 1 THEN person_id END) AS person1, max(CASE WHEN k = 2 THEN person_id END) AS person2, max(CASE WHEN k = 3 THEN person_id END) AS person3, max(CASE WHEN k = 4 THEN person_id END) AS person4 FROM catalog c LEFT JOIN (SELECT * FROM cut WHERE k <= 4) p ON c.item_id = p.item_id GROUP BY c.item_id, c.title, c.studio",
     "serving_projection": f"{C} SELECT item_id, nullif(trim(title), '') AS title, nullif(studio, '') AS studio, nullif(episodes, 0) AS episodes FROM catalog",
     "path_routing": f"WITH {_TURNS} SELECT conv_id, turn, CASE WHEN regexp_like(t, '(only|without|except|before|after|at least|(19|20)[0-9][0-9])') THEN 'constraint_rich' ELSE 'fast' END AS path FROM turns WHERE role = 'user'",

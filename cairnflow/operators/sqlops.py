@@ -55,7 +55,6 @@ SQL: dict[str, str] = {
     "search_page": f"{_MEMBERS} SELECT item_id, title, total FROM (SELECT item_id, title, row_number() OVER (ORDER BY members DESC, item_id) AS k, count(*) OVER () AS total FROM items WHERE lower(title) LIKE '%a%') x WHERE k BETWEEN 21 AND 40",
     "prefix_search": f"{_MEMBERS} SELECT item_id, title, k FROM (SELECT item_id, title, row_number() OVER (ORDER BY CASE WHEN lower(title) LIKE 's%' THEN 0 ELSE 1 END, members DESC, item_id) AS k FROM items WHERE lower(title) LIKE '%s%') x WHERE k <= 50",
     "hard_filter": f"{C} SELECT item_id, title, studio, year FROM catalog WHERE score >= 5 AND year BETWEEN 1980 AND 2010 AND episodes <= 26 AND studio IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22', 'Brand#23') AND lower(title) NOT LIKE '%black%'",
-    "required_all_of": f"{R}, req AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS k FROM ratings GROUP BY item_id) x WHERE k <= 40) SELECT r.user_id, count(DISTINCT r.item_id) AS matched FROM ratings r JOIN req q ON r.item_id = q.item_id GROUP BY r.user_id HAVING count(DISTINCT r.item_id) >= 2",
     "exclude_series": f"{_MEMBERS} SELECT item_id, title FROM items WHERE series NOT IN (SELECT series FROM items WHERE item_id % 50 = 7)",
     "series_collapse": f"{_MEMBERS} SELECT item_id, series FROM (SELECT item_id, series, row_number() OVER (PARTITION BY series ORDER BY members DESC, item_id) AS k FROM items) x WHERE k = 1",
     "series_cap2": f"{_MEMBERS} SELECT item_id, series, k FROM (SELECT item_id, series, row_number() OVER (PARTITION BY series ORDER BY members DESC, item_id) AS k FROM items) x WHERE k <= 2",
@@ -77,8 +76,7 @@ SQL: dict[str, str] = {
     "set_differences": f"{RC} SELECT 'rated only' AS part, count(*) AS n FROM (SELECT item_id FROM ratings EXCEPT SELECT item_id FROM catalog WHERE item_id % 2 = 0) a UNION ALL SELECT 'both', count(*) FROM (SELECT item_id FROM ratings INTERSECT SELECT item_id FROM catalog WHERE item_id % 2 = 0) b",
     # evaluation
     "popular_top10": f"{RSTT} SELECT user_id, item_id, rank FROM top",
-    "ndcg_per_user": f"{RSM} SELECT user_id, relevant, round(ndcg10, 6) AS ndcg10, round(recall10, 6) AS recall10, hit10, round(mrr10, 6) AS mrr10 FROM metrics",
-    "metrics_by_segment": f"{RSM}, seg AS (SELECT user_id, CASE WHEN count_if(fold = 'train') <= 4 THEN 'sparse' WHEN count_if(fold = 'train') <= 19 THEN 'medium' ELSE 'heavy' END AS segment FROM split GROUP BY user_id) SELECT segment, count(*) AS users, round(avg(ndcg10), 6) AS ndcg10, round(avg(recall10), 6) AS recall10, round(avg(hit10), 6) AS hit10, round(avg(mrr10), 6) AS mrr10 FROM metrics m JOIN seg s ON m.user_id = s.user_id GROUP BY segment",
+    "metrics_by_segment": f"{RSM}, seg AS (SELECT user_id, CASE WHEN count_if(fold = 'train') <= 4 THEN 'sparse' WHEN count_if(fold = 'train') <= 19 THEN 'medium' ELSE 'heavy' END AS segment FROM split GROUP BY user_id), every AS (SELECT 'sparse' AS segment UNION ALL SELECT 'medium' UNION ALL SELECT 'heavy'), placed AS (SELECT s.segment, m.* FROM metrics m JOIN seg s ON m.user_id = s.user_id) SELECT g.segment, count(p.user_id) AS users, round(coalesce(avg(ndcg10), 0e0), 6) AS ndcg10, round(coalesce(avg(recall10), 0e0), 6) AS recall10, round(coalesce(avg(hit10), 0e0), 6) AS hit10, round(coalesce(avg(mrr10), 0e0), 6) AS mrr10 FROM every g LEFT JOIN placed p ON g.segment = p.segment GROUP BY g.segment",
     "metrics_by_bucket": f"{RSTT} SELECT b.bucket, count(*) AS relevant, count(t.item_id) AS found, round(count(t.item_id) * 1e0 / count(*), 6) AS recall10 FROM split s JOIN bucketed b ON s.item_id = b.item_id LEFT JOIN top t ON t.user_id = s.user_id AND t.item_id = s.item_id WHERE s.fold = 'test' GROUP BY b.bucket",
     "coverage_novelty": f"{RSTT}, n AS (SELECT count(DISTINCT item_id) AS n, sum(positives) AS total FROM stats) SELECT round(count(DISTINCT t.item_id) * 1e0 / max(n.n), 6) AS coverage, round(avg(-log2((s.positives + 1) * 1e0 / (n.total + n.n))), 6) AS novelty FROM top t JOIN stats s ON t.item_id = s.item_id, n",
     "exposure_by_bucket": f"{RSTT} SELECT b.bucket, count(*) AS shown, round(count(*) * 1e0 / sum(count(*)) OVER (), 6) AS share FROM top t JOIN bucketed b ON t.item_id = b.item_id GROUP BY b.bucket",
@@ -86,7 +84,6 @@ SQL: dict[str, str] = {
     "exposure_gini": f"{RSTT}, x AS (SELECT s.item_id, count(t.user_id) AS n FROM stats s LEFT JOIN top t ON s.item_id = t.item_id GROUP BY s.item_id), y AS (SELECT n, row_number() OVER (ORDER BY n, item_id) AS i, count(*) OVER () AS m FROM x) SELECT count(*) AS items, CAST(sum(n) AS BIGINT) AS shown, round(sum((2 * i - m - 1) * n) * 1e0 / (max(m) * sum(n)), 6) AS gini FROM y",
     "concentration_shares": f"{RST}, y AS (SELECT positives, row_number() OVER (ORDER BY positives DESC, item_id) AS i, count(*) OVER () AS m FROM stats) SELECT round(sum(CASE WHEN i <= ceil(m * 1e-2) THEN positives ELSE 0 END) * 1e0 / sum(positives), 6) AS top1, round(sum(CASE WHEN i <= ceil(m * 5e-2) THEN positives ELSE 0 END) * 1e0 / sum(positives), 6) AS top5, round(sum(CASE WHEN i <= ceil(m * 1e-1) THEN positives ELSE 0 END) * 1e0 / sum(positives), 6) AS top10, round(sum(CASE WHEN i <= ceil(m * 2e-1) THEN positives ELSE 0 END) * 1e0 / sum(positives), 6) AS top20 FROM y",
     "candidate_recall": f"{RSTT} SELECT d.depth, count(*) AS relevant, count_if(b.pop_rank <= d.depth) AS found, round(count_if(b.pop_rank <= d.depth) * 1e0 / count(*), 6) AS recall FROM split s JOIN ranked b ON s.item_id = b.item_id, (SELECT 100 AS depth UNION ALL SELECT 300 UNION ALL SELECT 500 UNION ALL SELECT 1000) d WHERE s.fold = 'test' GROUP BY d.depth",
-    "profile_size_curve": f"{RS} SELECT k, count(*) AS users, round(avg(mean), 6) AS mean_rating FROM (SELECT s.k, o.user_id, avg(o.rating) AS mean FROM ordered o JOIN (SELECT 1 AS k UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 10) s ON o.rn <= s.k GROUP BY s.k, o.user_id) x GROUP BY k",
     "intra_list_diversity": f"{RSTT}, {CATALOG}, c AS (SELECT t.user_id, t.rank, k.studio, k.type FROM top t JOIN catalog k ON t.item_id = k.item_id) SELECT user_id, round(avg(d), 6) AS diversity FROM (SELECT a.user_id, 1 - (CASE WHEN a.studio = b.studio THEN 1 ELSE 0 END + CASE WHEN a.type = b.type THEN 1 ELSE 0 END) * 1e0 / (4 - CASE WHEN a.studio = b.studio THEN 1 ELSE 0 END - CASE WHEN a.type = b.type THEN 1 ELSE 0 END) AS d FROM c a JOIN c b ON a.user_id = b.user_id AND a.rank < b.rank) p GROUP BY user_id",
     # rating scale, cross-tabs, percentiles
     "status_crosstab": "SELECT o_orderstatus AS status, count_if(q < 10) AS low, count_if(q >= 10 AND q < 30) AS mid, count_if(q >= 30) AS high, count(*) AS n FROM (SELECT o_orderstatus, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY o_orderstatus",

@@ -28,12 +28,12 @@ split AS (SELECT user_id, item_id, rating, n, CASE WHEN rn <= v THEN 'validation
 STATS = """stats AS (SELECT r.item_id, sum(CASE WHEN s.fold = 'train' THEN 1 ELSE 0 END) AS positives, count(*) AS observed, sum(r.rating) AS total FROM ratings r LEFT JOIN split s ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE coalesce(s.fold, 'train') = 'train' GROUP BY r.item_id),
 ranked AS (SELECT *, row_number() OVER (ORDER BY positives DESC, item_id) AS pop_rank, count(*) OVER () AS n_items FROM stats),
 bucketed AS (SELECT *, CASE WHEN pop_rank <= ceil(n_items * 2e-1) THEN 'head' WHEN pop_rank <= ceil(n_items * 5e-1) THEN 'mid' ELSE 'tail' END AS bucket FROM ranked)"""
-def _top(name: str, ranking: str, place: str) -> str:
-    """Top ten of what a user hasn't seen, by a ranking with places 1, 2, ...: a user who knows m items finds ten among the first
-    10 + m places, so these places are listed and joined by equality; the work is in proportion to what users know."""
-    return f"""pool_{name} AS (SELECT user_id, explode(sequence(1, 10 + m)) AS place FROM reach),
+def _top(name: str, ranking: str, place: str, n: int = 10) -> str:
+    """The top n of what a user hasn't seen, by a ranking with places 1, 2, ...: a user who knows m items finds n among the first
+    n + m places, so these places are listed and joined by equality; the work is in proportion to what users know."""
+    return f"""pool_{name} AS (SELECT user_id, explode(sequence(1, {n} + m)) AS place FROM reach),
 unseen_{name} AS (SELECT p.user_id, h.item_id, h.{place} AS place FROM pool_{name} p JOIN {ranking} h ON h.{place} = p.place LEFT JOIN known k ON p.user_id = k.user_id AND h.item_id = k.item_id WHERE k.item_id IS NULL),
-{name} AS (SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM unseen_{name}) x WHERE rank <= 10)"""
+{name} AS (SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM unseen_{name}) x WHERE rank <= {n})"""
 
 
 #: what users know at evaluation, who is evaluated, and how much each knows
@@ -54,8 +54,15 @@ def metrics(name: str, top: str) -> str:
   FROM evaluated e JOIN ideal i ON i.k = least(e.relevant, 10) LEFT JOIN hits_{name} h ON h.user_id = e.user_id)"""
 
 
-#: DCG of k hits at the first k places
-IDEAL = "ideal AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, CAST('{sum(1 / math.log2(i + 1) for i in range(1, k + 1))!r}' AS DOUBLE) AS idcg" for k in range(1, 11)) + ")"
+#: DCG of k hits at the first k places, up to 20
+IDEAL = "ideal AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, CAST('{sum(1 / math.log2(i + 1) for i in range(1, k + 1))!r}' AS DOUBLE) AS idcg" for k in range(1, 21)) + ")"
+#: A15 with both depths, over the first twenty
+METRICS20 = f"""{_top("top20", "ranked", "pop_rank", 20)}, {IDEAL},
+hits20 AS (SELECT t.user_id, sum(CASE WHEN t.rank <= 10 THEN 1 / log2(t.rank + 1) ELSE 0e0 END) AS dcg10, sum(1 / log2(t.rank + 1)) AS dcg20, count(CASE WHEN t.rank <= 10 THEN 1 END) AS n10, count(*) AS n20, min(t.rank) AS first
+  FROM top20 t JOIN split s ON t.user_id = s.user_id AND t.item_id = s.item_id AND s.fold = 'test' GROUP BY t.user_id),
+metrics20 AS (SELECT e.user_id, e.relevant, coalesce(h.dcg10, 0e0) / i.idcg AS ndcg10, coalesce(h.dcg20, 0e0) / j.idcg AS ndcg20, coalesce(h.n10, 0) * 1e0 / e.relevant AS recall10, coalesce(h.n20, 0) * 1e0 / e.relevant AS recall20,
+  CASE WHEN h.n10 > 0 THEN 1e0 ELSE 0e0 END AS hit10, coalesce(1e0 / h.first, 0e0) AS mrr20
+  FROM evaluated e JOIN ideal i ON i.k = least(e.relevant, 10) JOIN ideal j ON j.k = least(e.relevant, 20) LEFT JOIN hits20 h ON h.user_id = e.user_id)"""
 METRICS = f"""{IDEAL}, {metrics("metrics", "top")}"""
 
 
