@@ -85,6 +85,11 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def forget() -> None:
+    """The next query writes its facts anew."""
+    _facts.clear()
+
+
 def facts(spark: SparkSession, sf_dir: str, ranked: bool) -> dict[str, DataFrame]:
     """Ratings, split and, if asked for, ranked statistics, written once for each application and state of the source files: a
     materialised view that a change of a source replaces."""
