@@ -85,6 +85,15 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def _held(spark: SparkSession) -> bool:
+    """Whether the folder that the facts were written to is still there."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def forget() -> None:
     """The next query writes its facts anew."""
     _facts.clear()
@@ -94,7 +103,7 @@ def facts(spark: SparkSession, sf_dir: str, ranked: bool) -> dict[str, DataFrame
     """Ratings, split and, if asked for, ranked statistics, written once for each application and state of the source files: a
     materialised view that a change of a source replaces."""
     key = _sources(spark, sf_dir)
-    if key not in _facts:
+    if key not in _facts or not _held(spark):
         _facts.clear()  # of another folder, state or application
         bind(spark, sf_dir, "lineitem orders")
         ratings = durable(spark.sql(f"WITH {RATINGS} SELECT * FROM ratings"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from cairnflow.functions import labels as L
 from cairnflow.operators import catalogue
+from cairnflow.plans import views
 from cairnflow.plans.rank import global_rank
 from cairnflow.sources import artifacts as A
 from pyspark.sql import functions as F
@@ -120,3 +121,20 @@ def test_split_store(spark, tmp_path):
     assert not A.split_matches(spark, path, str(source), config)
     A.report(split, str(tmp_path / "out"))
     assert A.markdown(split.orderBy("user_id", "item_id")).splitlines()[2] == "| 1 | 2 | train |"
+
+
+def test_facts_are_written_again_when_a_source_changes_or_they_are_gone(spark, tmp_path):
+    import shutil
+
+    folder = tmp_path / "sf"
+    shutil.copytree(SF, folder)
+    count = lambda: views.run_sql(spark, str(folder), f"WITH {views.RATINGS}, {views.SPLIT} SELECT count(*) AS n FROM ratings").first().n
+    before = count()
+    held = views.facts(spark, str(folder), False)["ratings"]
+    assert views.facts(spark, str(folder), False)["ratings"] is held
+    spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey % 2 = 0").write.parquet(str(tmp_path / "half"))
+    os.remove(folder / "lineitem.parquet")
+    shutil.copytree(tmp_path / "half", folder / "lineitem.parquet")
+    assert 0 < count() < before
+    shutil.rmtree(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert 0 < count() < before
