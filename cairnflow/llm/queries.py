@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, linededup, mixing, pii, secrets, simhash, toxicity, urlfilter
+from . import decontaminate, embeddings, licenses, linededup, mixing, pii, quality, secrets, simhash, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets)}
-ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets, op11_quality)}
+ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op11_quality": quality.ORACLE}
