@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dialogue, embeddings, licenses, linededup, mixing, pii, quality, secrets, simhash, toxicity, urlfilter
+from . import decontaminate, dialogue, embeddings, licenses, linededup, mixing, phrases, pii, quality, secrets, simhash, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,9 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repaired(dialogue.damaged(_read(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets, op11_quality, op12_conversations)}
-ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op11_quality": quality.ORACLE}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets, op11_quality, op12_conversations, op13_phrases)}
+ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op11_quality": quality.ORACLE, "op13_phrases": phrases.ORACLE}
