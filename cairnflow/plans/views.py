@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,15 @@ def facts(spark: SparkSession, sf_dir: str, ranked: bool) -> dict[str, DataFrame
     return known
 
 
+def fact(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A further fact over the same sources, written once and kept as a view of that name like the others."""
+    known = facts(spark, sf_dir, True)
+    if name not in known:
+        known[name] = durable(build())
+        known[name].createOrReplaceTempView(name)
+    return known[name]
+
+
 def _written(spark: SparkSession, sf_dir: str, text: str) -> str:
     """Takes the definitions of what is written out of a text that builds on the split: it reads the views instead."""
     if f"{RATINGS}, {SPLIT}" not in text:

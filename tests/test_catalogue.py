@@ -127,7 +127,8 @@ def test_facts_are_written_again_when_a_source_changes_or_they_are_gone(spark, t
     import shutil
 
     folder = tmp_path / "sf"
-    shutil.copytree(SF, folder)
+    shutil.copytree(SF, folder, copy_function=shutil.copyfile)
+    os.chmod(folder, 0o755)  # a copy of a read-only folder
     count = lambda: views.run_sql(spark, str(folder), f"WITH {views.RATINGS}, {views.SPLIT} SELECT count(*) AS n FROM ratings").first().n
     before = count()
     held = views.facts(spark, str(folder), False)["ratings"]
