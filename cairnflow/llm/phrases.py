@@ -27,15 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .linededup import bit_filter
-from .shared import durable, small_batches
+from .shared import durable, small_batches, tidy
 
 LONGEST, LEAST, TOP, SCALE, COVERED = 3, 10, 2000, 1_000_000, 50
-SHARD_BYTES, BLOCK, DENSE, MOST_BITS, PART = 1 << 21, 1 << 18, 64, 1 << 27, 100_000
+SHARD_BYTES, BLOCK, DENSE, MOST_BITS, PART = 1 << 21, 1 << 18, 64, 1 << 27, 10_000
 #: Upper case to lower case, tab to space, what ends a piece to a line feed.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 _SHIFT, _MASK = np.int64(21), np.int64((1 << 21) - 1)
@@ -241,7 +241,8 @@ def _pruned(lang: str, words: pa.Array, ids: np.ndarray, filters: list):
 
 
 def _hash_counts(docs: DataFrame, depth: int, filters: list, limit: int) -> DataFrame:
-    """(lang, h, n): occurrences of the phrases of `depth` words by hash; lang only at depth 1."""
+    """(h, n), for single words (lang, h, n): occurrences of the phrases of `depth` words by hash, which the language is part of."""
+    keys = ["lang", "h"] if depth == 1 else ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids, lead in _shards(batches, depth, limit):
@@ -249,34 +250,37 @@ def _hash_counts(docs: DataFrame, depth: int, filters: list, limit: int) -> Data
             for phrases, counts in Shard(ids, lead).phrases(depth, keep):
                 if phrases.shape[1] == depth:
                     h = phrase_hashes(hashes, phrases).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang if depth == 1 else None] * len(h), pa.string()), pa.array(h), pa.array(counts)], ["lang", "h", "n"])
+                    own = [pa.array([lang] * len(h), pa.string())] if depth == 1 else []
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(counts)], [*keys, "n"])
 
-    return _texts(docs).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(run, f"{'lang string, ' if depth == 1 else ''}h long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, limit: int = SHARD_BYTES, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """docs (lang, text) -> (lang, phrase, words, f) of phrases of 1 to `longest` words that occur `least` times and more, and (lang, n)."""
     spark = docs.sparkSession
     small_batches(spark)
-    filters, totals = [], None
+    with tidy(spark):
+        return _frequencies(spark, docs, longest, least, limit, most_bits)
+
+
+def _frequencies(spark: SparkSession, docs: DataFrame, longest: int, least: int, limit: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    filters: list = []
+    words = durable(_hash_counts(docs, 1, [], limit))
+    totals = durable(words.groupBy("lang").agg(F.sum("n").alias("n")))
     for depth in range(1, longest):
-        counts = _hash_counts(docs, depth, filters, limit)
-        if depth == 1:
-            counts = durable(counts)
-            totals = durable(counts.groupBy("lang").agg(F.sum("n").alias("n")))
+        counts = words if depth == 1 else _hash_counts(docs, depth, filters, limit)
         filters.append(spark.sparkContext.broadcast(bit_filter(durable(counts.where(F.col("n") >= least).select("h").distinct()), most_bits)))
-    if totals is None:
-        totals = durable(_hash_counts(docs, 1, [], limit).groupBy("lang").agg(F.sum("n").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids, lead in _shards(batches, longest, limit):
             ids, _, keep = _pruned(lang, words, ids, filters)
             for phrases, counts in Shard(ids, lead).phrases(longest, keep):
                 text = pc.binary_join_element_wise(*(words.take(pa.array(phrases[:, k] - 1)) for k in range(phrases.shape[1])), pa.scalar(b" ", words.type)).cast(pa.large_string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), text.cast(pa.string()), pa.array(np.full(len(text), phrases.shape[1], np.int32)), pa.array(counts)], ["lang", "phrase", "words", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), text.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "f"])
 
-    found = _texts(docs).mapInArrow(run, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return durable(found), totals
+    found = _texts(docs).mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return durable(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")), totals
 
 
 def _part(words: Column, start: int | Column, size: int | Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is run inside drops its shuffle files when it ends, instead of when the driver happens to collect its garbage: for steps that each
+    end in `durable`. The setting before is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash_sample(texts: DataFrame, gate: Column, size: int) -> DataFrame:
     """texts (text, not null) -> (text, gated): up to size distinct texts that pass the gate and up to size that don't, those first by a hash.
 
