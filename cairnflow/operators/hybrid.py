@@ -371,8 +371,8 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.array().cast("array<string>"))
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id")).where("user_id % 100 = 0")
     return users.select(
-        u, pick(4, "a show about a secret school of dreams", "please recommend something good", "something steel").alias("text"), one(pick(5, "steel", "brass")).alias("genres"), one(pick(3, "copper")).alias("session_genres"), one(pick(7, "tin")).alias("excluded_genres"),
-        F.array().cast("array<string>").alias("formats"), one(pick(6, "Brand#11", "Brand#23")).alias("studios"), one(pick(8, "person 3", "person 7")).alias("staff"), F.array().cast("array<string>").alias("characters"), F.array().cast("array<string>").alias("voice_actors"),
+        u, pick(4, "a show about a secret school of dreams", "please recommend something good", "something blue").alias("text"), one(pick(5, "promo", "small")).alias("genres"), one(pick(3, "large")).alias("session_genres"), one(pick(7, "economy")).alias("excluded_genres"),
+        F.array().cast("array<string>").alias("formats"), one(pick(6, "Brand#1", "Brand#3")).alias("studios"), one(pick(8, "person 3", "person 7")).alias("staff"), F.array().cast("array<string>").alias("characters"), F.array().cast("array<string>").alias("voice_actors"),
         pick(4, "neutral", "less_famous", "mainstream").alias("novelty"),
     )
 

@@ -52,7 +52,7 @@ def _given(v: Column, field: str) -> Column:
 def _strings(v: Column, field: str) -> Column:
     """The list's texts, trimmed, without empty ones and repeats in other capitals, cut to MOST_CHARS and MOST_ENTRIES."""
     raw = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<string>"), F.array().cast("array<string>"))
-    clean = F.filter(F.transform(raw, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")  # noqa: PLW0108  trim would take the place as its second argument
     once = F.filter(clean, lambda x, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
     return F.slice(F.transform(once, lambda x: F.left(x, F.lit(MOST_CHARS))), 1, MOST_ENTRIES)
 
@@ -203,12 +203,12 @@ def answered(requests: DataFrame, items: DataFrame) -> DataFrame:
 
 #: What a model might answer; %y is a year, %e a number of episodes. The last ones are to be refused.
 TEMPLATES = (
-    '{"intent":"recommend","include_genres":["brushed"," STEEL","steel"],"min_year":%y,"top_k":5}',
-    'Sure!\n```json\n{"intent":"rank_catalog","rank_by":"start_year","sort_order":"asc","formats":["Brass"],"max_episodes":%e}\n```',
-    '{"intent":"search","catalog_query":"a","min_score":9.4,"max_year":%y,"exclude_genres":["tin"],"required_studios":["Brand#11"]}',
-    '{"intent":"recommend","min_score":9.99,"min_year":2024,"formats":["nickel"],"include_genres":["nothing"]}',
-    '{"intent":"conversational","min_score":10}',
-    '{"intent":"rank_catalog","rank_by":"title","top_k":3,"min_score":9.9,"entity_mentions":["One",{"text":"Two","entity_type":"staff"}]}',
+    '{"intent":"recommend","include_genres":["promo"," BLUE","blue"],"min_year":%y,"top_k":5}',
+    'Sure!\n```json\n{"intent":"rank_catalog","rank_by":"start_year","sort_order":"asc","formats":["Small"],"max_episodes":%e}\n```',
+    '{"intent":"search","catalog_query":"a","min_score":4.9,"max_year":%y,"exclude_genres":["anvil"],"required_studios":["Brand#1"]}',
+    '{"intent":"recommend","min_score":4.999,"min_year":2024,"formats":["medium"],"include_genres":["nothing"]}',
+    '{"intent":"conversational","min_score":5}',
+    '{"intent":"rank_catalog","rank_by":"title","top_k":3,"min_score":4.99,"entity_mentions":["One",{"text":"Two","entity_type":"staff"}]}',
     '{"intent":"recommend","mood":"dark","colour":1}', '{"intent":"dance"}', '{"intent":"search","min_year":"soon"}', '{"intent":"search","min_score":11}', '{"intent":"search","min_year":2010,"max_year":2000}', '{"intent":"search","formats":"TV"}', "no answer",
     '{"intent":"recommend","rank_by":"fame"}', '{"intent":"recommend","include_genres":["x",3]}', '{"intent":"recommend","one_per_series":"yes"}', '{"intent":"recommend","top_k":2.5}', '{"intent":"recommend","entity_mentions":[{"text":"x","relation":"friend"}]}',
 )
@@ -223,7 +223,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, f"WITH {CATALOG} SELECT * FROM catalog")
-    return rows.select("item_id", "title", F.split(F.lower("type"), " ").alias("genres"), F.element_at(F.split("type", " "), -1).alias("type"), F.array("studio").alias("studios"), "score", "year", "episodes", F.col("item_id").alias("popularity"), F.col("episodes").alias("members"))
+    return rows.select("item_id", "title", F.concat(F.split(F.lower("type"), " "), F.split(F.lower("title"), " ")).alias("genres"), F.element_at(F.split("type", " "), -1).alias("type"), F.array("studio").alias("studios"), "score", "year", "episodes", F.col("item_id").alias("popularity"), F.col("episodes").alias("members"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,16 +257,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 #: What each template comes to, by hand.
 _EXPECTED = """t AS (SELECT DISTINCT conv_id * 1000 + turn AS request_id, (conv_id * 5 + turn) % 18 AS k, 1960 + conv_id % 60 AS y, turn + 1 AS e, conv_id FROM conversations),
-x(k, refused, kind, rank_by, genres, min_score, top_k, mentions) AS (VALUES (0, NULL, 'recommend', 'score', 'brushed|STEEL', NULL, 5, 0), (1, NULL, 'rank_catalog', 'start_year', '', NULL, 10, 0), (2, NULL, 'search', 'score', '', 9.4, 10, 0), (3, NULL, 'recommend', 'score', 'nothing', 9.99, 10, 0),
-  (4, NULL, 'conversational', 'score', '', 10, 10, 0), (5, NULL, 'rank_catalog', 'title', '', 9.9, 3, 2), (6, 'unknown fields: colour, mood', NULL, NULL, NULL, NULL, NULL, NULL), (7, 'unsupported intent: dance', NULL, NULL, NULL, NULL, NULL, NULL), (8, 'min_year must be a whole number', NULL, NULL, NULL, NULL, NULL, NULL),
+x(k, refused, kind, rank_by, genres, min_score, top_k, mentions) AS (VALUES (0, NULL, 'recommend', 'score', 'promo|BLUE', NULL, 5, 0), (1, NULL, 'rank_catalog', 'start_year', '', NULL, 10, 0), (2, NULL, 'search', 'score', '', 4.9, 10, 0), (3, NULL, 'recommend', 'score', 'nothing', 4.999, 10, 0),
+  (4, NULL, 'conversational', 'score', '', 5, 10, 0), (5, NULL, 'rank_catalog', 'title', '', 4.99, 3, 2), (6, 'unknown fields: colour, mood', NULL, NULL, NULL, NULL, NULL, NULL), (7, 'unsupported intent: dance', NULL, NULL, NULL, NULL, NULL, NULL), (8, 'min_year must be a whole number', NULL, NULL, NULL, NULL, NULL, NULL),
   (9, 'min_score must be between 0 and 10', NULL, NULL, NULL, NULL, NULL, NULL), (10, 'min_year cannot be greater than max_year', NULL, NULL, NULL, NULL, NULL, NULL), (11, 'formats must be an array', NULL, NULL, NULL, NULL, NULL, NULL), (12, 'no JSON object', NULL, NULL, NULL, NULL, NULL, NULL),
   (13, 'unsupported rank_by: fame', NULL, NULL, NULL, NULL, NULL, NULL), (14, 'include_genres must contain only strings', NULL, NULL, NULL, NULL, NULL, NULL), (15, 'one_per_series must be true or false', NULL, NULL, NULL, NULL, NULL, NULL), (16, 'top_k must be a whole number', NULL, NULL, NULL, NULL, NULL, NULL),
   (17, 'entity_mentions has an unsupported type or relation', NULL, NULL, NULL, NULL, NULL, NULL)),
-c AS (SELECT p_partkey AS i, p_name AS title, string_split(lower(p_type), ' ') AS gs, lower(string_split(p_type, ' ')[-1]) AS ty, p_brand AS st, round(p_retailprice / 200, 4) AS score, 1950 + p_partkey % 75 AS year, p_size AS ep FROM part)"""
+c AS (SELECT p_partkey AS i, p_name AS title, list_concat(string_split(lower(p_type), ' '), string_split(lower(p_name), ' ')) AS gs, lower(string_split(p_type, ' ')[-1]) AS ty, p_brand AS st, round(p_retailprice / 200, 4) AS score, 1950 + p_partkey % 75 AS year, p_size AS ep FROM part)"""
 _MEETS = f"""{_EXPECTED}, a AS (SELECT * FROM t WHERE request_id % 100 = 0 AND k < 6),
-m AS (SELECT a.*, c.*, list_filter([CASE WHEN k = 2 AND score < 9.4::DOUBLE OR k = 3 AND score < 9.99::DOUBLE OR k = 4 AND score < 10 OR k = 5 AND score < 9.9::DOUBLE THEN 'min_score' END, CASE WHEN k = 1 AND ep > e THEN 'max_episodes' END, CASE WHEN k = 0 AND year < y OR k = 3 AND year < 2024 THEN 'min_year' END,
-  CASE WHEN k = 2 AND year > y THEN 'max_year' END, CASE WHEN k = 1 AND ty <> 'brass' OR k = 3 AND ty <> 'nickel' THEN 'formats' END, CASE WHEN k = 2 AND list_contains(gs, 'tin') THEN 'exclude_genres' END, CASE WHEN k = 0 AND NOT list_has_any(gs, ['brushed', 'steel']) OR k = 3 THEN 'include_genres' END,
-  CASE WHEN k = 2 AND st <> 'Brand#11' THEN 'studio' END], lambda z: z IS NOT NULL) AS f FROM a, c)"""
+m AS (SELECT a.*, c.*, list_filter([CASE WHEN k = 2 AND score < 4.9::DOUBLE OR k = 3 AND score < 4.999::DOUBLE OR k = 4 AND score < 5 OR k = 5 AND score < 4.99::DOUBLE THEN 'min_score' END, CASE WHEN k = 1 AND ep > e THEN 'max_episodes' END, CASE WHEN k = 0 AND year < y OR k = 3 AND year < 2024 THEN 'min_year' END,
+  CASE WHEN k = 2 AND year > y THEN 'max_year' END, CASE WHEN k = 1 AND ty <> 'small' OR k = 3 AND ty <> 'medium' THEN 'formats' END, CASE WHEN k = 2 AND list_contains(gs, 'anvil') THEN 'exclude_genres' END, CASE WHEN k = 0 AND NOT list_has_any(gs, ['promo', 'blue']) OR k = 3 THEN 'include_genres' END,
+  CASE WHEN k = 2 AND st <> 'Brand#1' THEN 'studio' END], lambda z: z IS NOT NULL) AS f FROM a, c)"""
 ORACLES: dict[str, str] = {
     "intents": f"WITH {_EXPECTED} SELECT request_id, refused, kind, rank_by, genres, CAST(CASE k WHEN 0 THEN y WHEN 3 THEN 2024 END AS INT) AS min_year, CAST(CASE k WHEN 1 THEN e END AS INT) AS max_episodes, CAST(min_score AS DOUBLE) AS min_score, CAST(top_k AS INT) AS top_k, CAST(mentions AS INT) AS mentions FROM t JOIN x USING (k)",
     "relaxation_ladder": f"""WITH {_MEETS}, l AS (SELECT request_id, list_filter(CASE k WHEN 0 THEN ['min_year', 'include_genres'] WHEN 1 THEN ['max_episodes', 'formats'] WHEN 2 THEN ['min_score', 'max_year', 'exclude_genres'] WHEN 3 THEN ['min_score', 'min_year', 'formats', 'include_genres'] WHEN 5 THEN ['min_score'] ELSE CAST([] AS VARCHAR[]) END,
