@@ -2,7 +2,7 @@
 
 The pages that a fixed rule decides are the labelled ones; pages that none decides teach nothing. A labelled page's basket holds its
 tokens without those that the rule itself names (its host's labels and its path's segments), so that what is mined says something
-about other pages instead of repeating the rule. Baskets with their verdict go through FP-growth; rules that conclude a verdict are
+about other pages instead of repeating the rule. Baskets with their verdict go through FP-growth, tokens that always go together as one; rules that conclude a verdict are
 kept above a support and a confidence, and a rule goes if a part of its tokens concludes the same no less surely. Each rule
 is posted under its rarest token only (inverted index), then verified in full; of the rules all of whose tokens an open page has,
 the one with the highest confidence, then support, then fewest tokens decides, and without one the page is allowed.
@@ -17,6 +17,7 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import durable
@@ -54,22 +55,51 @@ def tokens(url: Column, host: Column, path: Column, labels: Column | None = None
     return F.array_distinct(F.concat(top, rest, steps, query, other))
 
 
+def _classes(rows: DataFrame, least: float) -> DataFrame:
+    """rows (basket, items, verdict) -> token, class (the smallest token that stands in exactly the same baskets), n, blocked: the baskets that hold
+    it, and those of them with the verdict block. Tokens in fewer than `least` baskets are left out. Sets of baskets are told apart by their
+    number and two 64-bit sums of hashes."""
+    each = rows.select("basket", "verdict", F.explode("items").alias("token"))
+    held = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.bit_xor(F.xxhash64("basket")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "basket")).alias("y"),
+    ).where(F.col("n") >= least)
+    return held.withColumn("class", F.min("token").over(W.partitionBy("n", "x", "y")))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """labelled (items, verdict) -> (rule_id, antecedent, rarest, verdict, confidence, support)."""
+    """labelled (items, verdict) -> (rule_id, antecedent, rarest, verdict, confidence, support).
+
+    Tokens that always go together would give as many itemsets as there are sets of them, all with the same counts, so they go through
+    FP-growth as one; of those itemsets the ones that survive the pruning name a single one of the tokens, and these are put back. A token all
+    of whose pages have one verdict needs no company: nothing that it is part of can be surer. It makes its rule at once and
+    doesn't go through FP-growth. Neither step loses a rule."""
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+    rows = durable(labelled.select("items", "verdict").withColumn("basket", F.monotonically_increasing_id()))
+    total = rows.count()
+    classes = durable(_classes(rows, support * total))
+    pure = classes.where((F.col("blocked") == F.col("n")) | (F.col("allowed") == F.col("n")))
+    sure = pure.select(F.array("class").alias("antecedent"), F.when(F.col("blocked") > 0, "block").otherwise("allow").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / max(1, total)).alias("support")).distinct()
+    mixed = classes.where((F.col("blocked") < F.col("n")) & (F.col("allowed") < F.col("n")))
+    found = rows.select("basket", F.explode("items").alias("token")).join(mixed.select("token", "class"), "token").groupBy("basket").agg(F.collect_set("class").alias("items"))
+    baskets = rows.select("basket", "verdict").join(found, "basket", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:")).where(~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    chosen = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("verdict"), "confidence", "support")
-    chosen = chosen.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\x01"), "verdict"))
-    often = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
-    posted = chosen.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest"))
-    chosen = durable(chosen.join(posted, "rule_id"))
-    part = chosen.select("rarest", F.col("rule_id").alias("part_id"), F.col("antecedent").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
-    whole = chosen.where("size(antecedent) > 1").select("rule_id", "antecedent", "verdict", "confidence", F.explode("antecedent").alias("rarest"))
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("verdict"), "confidence", "support")
+    rules = durable(rules.withColumn("n", F.monotonically_increasing_id()))
+    part = rules.select(F.col("antecedent")[0].alias("first"), F.col("antecedent").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
+    whole = rules.where("size(antecedent) > 1").select("n", "antecedent", "verdict", "confidence", F.explode("antecedent").alias("first"))
     better = (F.col("verdict") == F.col("part_verdict")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
-    return chosen.join(whole.join(part, "rarest").where(better).select("rule_id").distinct(), "rule_id", "left_anti")
+    left = rules.join(whole.join(part, "first").where(better).select("n").distinct(), "n", "left_anti").drop("n").unionByName(sure)
+
+    members = classes.groupBy("class").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    spelt = durable(left.withColumn("n", F.monotonically_increasing_id()))
+    by_place = spelt.select("n", F.posexplode("antecedent").alias("k", "class")).join(members, "class").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "tokens"))).alias("t"))
+    one_of_each = F.aggregate(F.col("t")["tokens"], F.array(F.array().cast("array<string>")), lambda made, tokens: F.flatten(F.transform(made, lambda m: F.transform(tokens, lambda x: F.array_append(m, x)))))
+    chosen = spelt.join(by_place, "n").withColumn("antecedent", F.explode(one_of_each)).select(F.array_sort("antecedent").alias("antecedent"), "verdict", "confidence", "support")
+    chosen = chosen.withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\x01"), "verdict"))
+    posted = chosen.select("rule_id", F.explode("antecedent").alias("item")).join(classes.select(F.col("token").alias("item"), "n"), "item").groupBy("rule_id").agg(F.min_by("item", F.struct("n", "item")).alias("rarest"))
+    return durable(chosen.join(posted, "rule_id").select("rule_id", "antecedent", "rarest", "verdict", "confidence", "support"))
 
 
 def _rows(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -563,3 +563,23 @@ def test_mined_rules_against_a_plain_count(spark):
     for s in sets.collect():
         fits = [(c, len([1 for b, v in baskets if set(i) <= set(b) and v == w]), -len(i), i, w) for (i, w), c in every.items() if set(i) <= set(s["items"]) and i in want and want[i][0] == w]
         assert best.get(s.set) == (max(fits)[-1] if fits else None)
+
+
+def test_tokens_that_go_together_dont_multiply(spark):
+    """24 keys of one template, on pages of both verdicts and of one: 2^24 itemsets if each were an item of its own."""
+    import time
+
+    keys, own = [f"query:k{i:02d}" for i in range(24)], [f"query:own{i:02d}" for i in range(24)]
+    rows = [([*keys, f"path:{i % 3}"], "block" if i % 10 else "allow") for i in range(250)] + [([*own, f"path:{i % 3}"], "block") for i in range(250)]
+    df = spark.createDataFrame(rows, "items array<string>, verdict string").repartition(4)
+    urlfilter.mine(df.limit(20), 0.05, 0.8).count()  # the session is warm
+    began = time.time()
+    rules = {tuple(x.antecedent): (x.verdict, round(x.confidence, 6)) for x in urlfilter.mine(df, 0.05, 0.8).collect()}
+    assert time.time() - began < 60
+    assert {k: v for k, v in rules.items() if len(k) == 1 and k[0].startswith("query")} == {(k,): ("block", 0.9) for k in keys} | {(k,): ("block", 1.0) for k in own}
+    assert all(sum(x in keys for x in k) <= 1 for k in rules)
+
+
+def test_url_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/", "x", "y", "z", 3)], "page_id long, url string, verdict string, items string, basket string, n int")
+    assert [tuple(r)[:5] for r in urlfilter.judge(df).collect()] == [(1, "a.net", "/es/", "net/es/", "block")]
