@@ -583,3 +583,37 @@ def test_tokens_that_go_together_dont_multiply(spark):
 def test_url_columns_that_clash(spark):
     df = spark.createDataFrame([(1, "http://a.net/es/", "x", "y", "z", 3)], "page_id long, url string, verdict string, items string, basket string, n int")
     assert [tuple(r)[:5] for r in urlfilter.judge(df).collect()] == [(1, "a.net", "/es/", "net/es/", "block")]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """40,000 addresses in a text: work in proportion, not by each meeting all others."""
+    import time
+
+    n, small = 20_000, "mail a1@b.org " * 200
+    long_ = "mail a1@b.org or 10.0.0.1 " * n
+    df = spark.createDataFrame([(1, long_), (2, small)], "doc_id long, text string")
+    began = time.time()
+    spans = pii._spans(df)
+    got = {r.doc_id: r for r in spans.selectExpr("doc_id", "size(email) AS e", "email[size(email) - 1] AS last", "size(ip) AS i", "size(filter(candidates, c -> c.hit)) AS hit", "size(candidates) AS c").collect()}
+    assert time.time() - began < 240
+    assert (got[1].e, got[1].i, got[2].e) == (n, n, 200) and got[1].last.start == len(long_) - len("a1@b.org or 10.0.0.1 ") and got[1].hit == got[1].c >= 2 * n
+
+
+def test_notices_in_one_long_text(spark):
+    import time
+
+    lines = ["Licensed under the MIT License.", "plain words", "Licensed under the Apache License,", "Version 2.0 (the License)"] * 5000
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "The MIT License")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in licenses.license_report(df).collect()}
+    assert time.time() - began < 240 and got[1].n_licenses >= 5000 and got[2].n_licenses == 1
+
+
+def test_overlapping_candidates(spark):
+    texts = ["Dr. Smith at j.smith (at) hospital (dot) org said", "x at y.z at host.com", "a (at) b.org and c@d.org"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", "text", pii.F.explode(pii.candidates(pii.F.col("text"))).alias("c")).collect()
+    spans = {(r.i, r.text[r.c.start : r.c.end]) for r in found}
+    assert (0, "j.smith (at) hospital (dot) org") in spans and (0, "Smith at j.smith") in spans and (2, "a (at) b.org") in spans and (2, "c@d.org") in spans
+    got = spark.createDataFrame([([(0, 4), (10, 12), (5, 6)], [(3, 5), (12, 14)])], "c array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    full = got.select(pii.marked(pii.F.transform("c", lambda c: pii.F.struct(c["start"].alias("start"), c["end"].alias("end"), *(pii.F.lit(0).alias(n) for n in pii.FEATURES))), pii.F.col("b")).alias("m")).first().m
+    assert {(x.start, x.end, x.hit) for x in full} == {(0, 4, True), (5, 6, False), (10, 12, False)}
