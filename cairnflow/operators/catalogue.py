@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scalar as S
-from ..plans.rank import global_rank
+from ..plans.rank import against_all, global_rank
 from ..plans.session import durable
 from ..plans.views import CATALOG, KNOWN, METRICS20, RATINGS, SPLIT, STATS, TOP10, run_sql
 from ..sources.artifacts import ids_digest, story_digest
@@ -110,7 +110,7 @@ def random_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every hundredth user, ten items that the user hasn't rated in the order of a digest of both."""
     ratings = durable(run_sql(spark, sf_dir, f"WITH {RATINGS} SELECT user_id, item_id FROM ratings"))
     users, items = ratings.where("user_id % 100 = 0").select("user_id").distinct(), ratings.select("item_id").distinct()
-    every = items.join(users, F.lit(True)).join(ratings, ["user_id", "item_id"], "left_anti")
+    every = against_all(users, items).join(ratings, ["user_id", "item_id"], "left_anti")
     h = F.md5(F.concat(F.lit("random:"), F.col("user_id").cast("string"), F.lit(":"), F.col("item_id").cast("string")).cast("binary"))
     return every.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(h, "item_id"))).where("rank <= 10")
 

@@ -1,11 +1,10 @@
 """Ten-channel hybrid ranking: feature vectors, profiles, channel scores per (request, item), weights renormalised over active channels.
 
 Sparse vectors are rows (id, feature, weight); a cosine is an equality join on features. Requests meet all items once, in blocks whose
-requests are broadcast (at most BLOCK of them, a few hundred bytes each); everything else joins by keys."""
+requests are broadcast (10,000 of a few hundred bytes each); everything else joins by keys."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scalar as S
+from ..plans.rank import against_all
 from ..plans.session import durable
 from ..plans.views import CATALOG, RATINGS, SPLIT, STATS, fact, run_sql
 from .reranking import written_neighbours
@@ -26,7 +26,7 @@ WEIGHTS = {"metadata": 0.16, "synopsis": 0.10, "lsa": 0.04, "semantic_embedding"
 #: Words of a request that say nothing about taste.
 GENERIC = tuple("""anime show shows series something some want watch watching looking look recommend recommendation recommendations suggest give find please good great nice best short shorter
 long longer new newer old older recent title titles like preferably i but no not me my would need really prefer any more else anything""".split())
-SYNOPSIS_TOKENS, PEOPLE, PRODUCERS, LSA_FEATURES, LSA_WIDTH, DENSE_WIDTH, BLOCK = 360, 16, 4, 384, 48, 192, 10_000
+SYNOPSIS_TOKENS, PEOPLE, PRODUCERS, LSA_FEATURES, LSA_WIDTH, DENSE_WIDTH = 360, 16, 4, 384, 48, 192
 #: Columns of items, all but item_id may be null.
 ITEMS = "item_id, title, synopsis, genres, metadata_tokens, genre_groups, type, studios, staff, characters, voice_actors, producers, score, members, popularity"
 #: Columns of requests, all but user_id may be null.
@@ -263,13 +263,6 @@ def session_signal(pairs: DataFrame, requests: DataFrame, likes: DataFrame, item
     return rows.select(*pair, F.when(F.col("blocked"), 0.0).otherwise(positive(score)).alias("signal"))
 
 
-def against_all(requests: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Every request with every item, in blocks: the requests of a block, `block` at most on average, are broadcast to the items."""
-    blocks = max(1, math.ceil(requests.count() / block))
-    parts = [items.join(F.broadcast(requests.where(F.pmod(F.xxhash64("user_id"), F.lit(blocks)) == b)), F.lit(True)) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def blended(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """M5: rows with a signal per channel and the flags active_<channel> and personal -> with total. Weights are renormalised over the
     active channels; a request that says nothing about taste is ranked by quality alone."""

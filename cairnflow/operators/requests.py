@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..plans.rank import against_all
 from ..plans.session import durable
 from ..plans.views import CATALOG, run_sql
-from .hybrid import against_all
 
 #: The grammar.
 INTENTS = ("recommend", "rank_catalog", "search", "details", "update_preferences", "conversational")

@@ -1,7 +1,10 @@
-"""Places in a global order without a single task that sees all rows."""
+"""Places in a global order without a single task that sees all rows, and a set of queries against all rows in blocks."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,3 +22,11 @@ def global_rank(rows: DataFrame, order: list[Column], place: str, total: str) ->
     within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     ranked = dealt.join(F.broadcast(counts), "_part").withColumn(place, within + F.col("_before"))
     return durable(ranked.select(*rows.columns, place, total))
+
+
+def against_all(requests: DataFrame, items: DataFrame, block: int = 10_000, key: str = "user_id") -> DataFrame:
+    """Every request with every item, in blocks: the requests of a block, about `block` by a hash of their key, are broadcast to the items, so
+    what is sent is bounded however many requests there are."""
+    blocks = max(1, math.ceil(requests.count() / block))
+    parts = [items.join(F.broadcast(requests.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)), F.lit(True)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)

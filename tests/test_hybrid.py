@@ -12,6 +12,7 @@ import pytest
 from cairnflow.functions import labels as L
 from cairnflow.functions.scalar import STOPWORDS
 from cairnflow.operators import fusion, hybrid
+from cairnflow.plans.rank import against_all
 
 ITEM = "item_id long, title string, synopsis string, genres array<string>, metadata_tokens array<string>, genre_groups map<string,array<string>>, type string, studios array<string>, staff array<struct<name:string,role:string>>, characters array<string>, voice_actors array<string>, producers array<string>, score double, members long, popularity long"
 REQUEST = "user_id long, text string, genres array<string>, session_genres array<string>, excluded_genres array<string>, formats array<string>, studios array<string>, staff array<string>, characters array<string>, voice_actors array<string>, novelty string"
@@ -222,7 +223,7 @@ def test_ranking_leaves_out_what_is_known_and_blocks_agree(spark, signals):
     top = hybrid.ranked(hybrid.blended(signals), known, 3).collect()
     assert not {(r.user_id, r.item_id) for r in top} & set(LIKES) and all(sum(r.user_id == u for r in top) == 3 for u in (100, 200, 300, 400))
     users, items = spark.range(25).withColumnRenamed("id", "user_id"), spark.range(4).withColumnRenamed("id", "item_id")
-    assert sorted(map(tuple, hybrid.against_all(users, items, 6).select("user_id", "item_id").collect())) == [(u, i) for u in range(25) for i in range(4)]
+    assert sorted(map(tuple, against_all(users, items, 6).select("user_id", "item_id").collect())) == [(u, i) for u in range(25) for i in range(4)]
 
 
 def test_weights_are_learned(spark):
