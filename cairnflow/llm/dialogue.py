@@ -330,3 +330,37 @@ def repaired(rows: DataFrame, long: int = LONG, block: int = BLOCK) -> DataFrame
         return _short(rows.select("key", "conv_id", "turn", "role", "text", "copies"))
     short = rows.join(large, "key", "left_anti").select("key", "conv_id", "turn", "role", "text", "copies")
     return _short(short).unionByName(_long(rows.join(large, "key", "left_semi"), block))
+
+
+def _oracle() -> str:
+    """The contract in SQL: a table of the best (cost, audit, lines) for each state, row by row from the end; CRC-32 by shifts."""
+    step = lambda q, c, a, o: f"{{'c': b{q}.c + {c}, 'a': '{a}' || b{q}.a, 'o': {o} || b{q}.o}}"
+    line = lambda role: f"chr(10) || {role} || ':' || text"
+    own = []
+    for q in range(4):
+        kept = " ".join(f"WHEN initial = '{r}' THEN {step(to[q], 'cut', 'K', line('role'))}" for r, to in NEXT.items() if q in to)
+        r = ALLOWED[q]
+        moved = step(NEXT[r][q], "1 + cut", "R", line(f"'{ROLES[r]}'"))
+        own.append(f"list_min(list_filter([{step(q, 2, 'D', chr(39) * 2)}, CASE WHEN NOT must THEN {moved} END, CASE WHEN must THEN NULL {kept} END], lambda x: x IS NOT NULL)) AS c{q}")
+    put = lambda x, role: f"{{'c': {x}.c + 5, 'a': 'I' || {x}.a, 'o': chr(10) || '{role}:' || {x}.o}}"
+    closed = f"SELECT conv, i, list_min([c0, {put('b2', 'user')}]) AS b0, list_min([c1, {put('b2', 'user')}]) AS b1, b2, list_min([c3, {put('c2', 'user')}]) AS b3"
+    start, far = "{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}", "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': ''}"
+    middle = f"SELECT *, list_min([c2, {put('c3', 'assistant')}]) AS b2"
+    crc = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda v, _: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+    return f"""
+WITH RECURSIVE a AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+h AS (SELECT conv, turn, {crc} % 20 AS h FROM (SELECT DISTINCT conv, turn, conv || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM a) x),
+d AS (SELECT a.conv, a.turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM a JOIN h ON h.conv = a.conv AND h.turn IS NOT DISTINCT FROM a.turn WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM d),
+r AS (SELECT *, blank OR dup AS must, CASE WHEN NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 5 ELSE 0 END AS cut, lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before
+  FROM (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS dup FROM n) x),
+w AS ({closed} FROM ({middle} FROM (SELECT conv, max(i) AS i, {start} AS c0, {far} AS c1, {far} AS c2, {start} AS c3 FROM r GROUP BY conv) x) y
+  UNION ALL {closed} FROM ({middle.replace("*,", "conv, i, c0, c1, c2, c3,")} FROM (SELECT w.conv, w.i - 1 AS i, {", ".join(own)} FROM w JOIN r ON r.conv = w.conv AND r.i = w.i) x) y),
+s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut > 0) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b0.c, 0) AS cost, coalesce(b0.a, '') AS audit, sha256(coalesce(substr(b0.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM a) e LEFT JOIN s USING (conv) LEFT JOIN (SELECT * FROM w WHERE i = 0) z USING (conv)
+"""
+
+
+ORACLE = _oracle()

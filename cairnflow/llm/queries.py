@@ -66,4 +66,4 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embeddings, op2_linededup, op3_pii, op4_simhash, op5_toxicity, op6_mixing, op7_decontamination, op8_licenses, op9_urls, op10_secrets, op11_quality, op12_conversations, op13_phrases)}
-ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op11_quality": quality.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {"op1_embeddings": embeddings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op11_quality": quality.ORACLE, "op12_conversations": dialogue.ORACLE, "op13_phrases": phrases.ORACLE}
