@@ -19,6 +19,7 @@ from ..functions import scalar as S
 from ..plans.rank import against_all
 from ..plans.session import durable
 from ..plans.views import CATALOG, RATINGS, SPLIT, STATS, fact, run_sql
+from .catalogue import _FOLDS, _STOP
 from .reranking import written_neighbours
 
 #: Channels and their weights.
@@ -27,6 +28,7 @@ WEIGHTS = {"metadata": 0.16, "synopsis": 0.10, "lsa": 0.04, "semantic_embedding"
 GENERIC = tuple("""anime show shows series something some want watch watching looking look recommend recommendation recommendations suggest give find please good great nice best short shorter
 long longer new newer old older recent title titles like preferably i but no not me my would need really prefer any more else anything""".split())
 SYNOPSIS_TOKENS, PEOPLE, PRODUCERS, LSA_FEATURES, LSA_WIDTH, DENSE_WIDTH = 360, 16, 4, 384, 48, 192
+_GENERIC_SQL = ", ".join(f"'{w}'" for w in GENERIC)
 #: Columns of items, all but item_id may be null.
 ITEMS = "item_id, title, synopsis, genres, metadata_tokens, genre_groups, type, studios, staff, characters, voice_actors, producers, score, members, popularity"
 #: Columns of requests, all but user_id may be null.
@@ -400,3 +402,46 @@ def hybrid_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _F = (hybrid_channels, hybrid_ranking, hybrid_without_text)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _F}
+
+#: The channels without text in another way: every request meets every item, features as lists.
+ORACLES: dict[str, str] = {
+    "hybrid_without_text": f"""WITH {_FOLDS},
+c AS (SELECT p_partkey AS i, p_name AS title, lower(p_type) AS ty, p_brand AS st, replace(lower(p_brand), '#', ' ') AS sk, round(p_retailprice / 200, 4) AS score FROM part),
+po AS (SELECT i, likes, row_number() OVER (ORDER BY likes DESC, i) AS pop, quality FROM q), ob AS (SELECT i, count(*) AS members FROM tr GROUP BY i),
+pe AS (SELECT DISTINCT l_partkey AS i, l_suppkey AS p FROM lineitem), ps AS (SELECT i, p FROM pe QUALIFY row_number() OVER (PARTITION BY i ORDER BY p) <= 16),
+raw AS (SELECT i, 'metadata:genre ' || ty AS f, 8.0::DOUBLE AS w FROM c UNION ALL SELECT i, 'theme:' || split_part(title, ' ', 1), 7 FROM c UNION ALL SELECT i, 'genre:' || ty, 8 FROM c UNION ALL SELECT i, ty, 2 FROM c UNION ALL SELECT i, 'type:' || ty, 3 FROM c UNION ALL SELECT i, 'studio:' || sk, 3 FROM c
+  UNION ALL SELECT i, 'staff:person ' || p, 3 FROM ps),
+me AS (SELECT i, f, sum(w) AS w FROM raw GROUP BY i, f), mi AS (SELECT f, ln((1 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf FROM me GROUP BY f), mv AS (SELECT i, f, w * idf AS w FROM me JOIN mi USING (f)),
+often AS (SELECT p FROM pe WHERE p % 3 < 2 GROUP BY p HAVING count(*) >= 2),
+cr AS (SELECT i, 'studio:' || sk AS f, 4.0::DOUBLE AS w FROM c WHERE st IN (SELECT st FROM c GROUP BY st HAVING count(*) >= 2) UNION ALL SELECT i, unnest(CASE p % 3 WHEN 0 THEN ['director:person ' || p] ELSE ['music:person ' || p, 'script:person ' || p] END), 4 FROM pe JOIN often USING (p)),
+ci AS (SELECT f, ln((1 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf FROM cr GROUP BY f), cv AS (SELECT i, f, w * idf AS w FROM cr JOIN ci USING (f)),
+u AS (SELECT c_custkey AS u, CAST(floor(c_custkey / 100) AS BIGINT) AS k FROM customer WHERE c_custkey % 100 = 0),
+rq AS (SELECT u, ['a show about a secret school of dreams', 'please recommend something good', 'something blue', NULL][k % 4 + 1] AS text, ['promo', 'small', NULL, NULL, NULL][k % 5 + 1] AS g, ['large', NULL, NULL][k % 3 + 1] AS sg, ['economy', NULL, NULL, NULL, NULL, NULL, NULL][k % 7 + 1] AS ex,
+  ['Brand#1', 'Brand#3', NULL, NULL, NULL, NULL][k % 6 + 1] AS st, ['person 3', 'person 7', NULL, NULL, NULL, NULL, NULL, NULL][k % 8 + 1] AS sf, coalesce(['neutral', 'less_famous', 'mainstream', NULL][k % 4 + 1], 'neutral') AS nov FROM u),
+li AS (SELECT u, i FROM f WHERE fold = 'l' AND u % 300 <> 0 AND u IN (SELECT u FROM u)),
+tk AS (SELECT u, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM rq), ts AS (SELECT u, t FROM tk WHERE t NOT IN ({_STOP})),
+bm AS (SELECT u, 'genre:' || g AS f, 12.0::DOUBLE AS w FROM rq WHERE g IS NOT NULL UNION ALL SELECT u, g, 2.4 FROM rq WHERE g IS NOT NULL UNION ALL SELECT u, 'genre:' || sg, 4 FROM rq WHERE sg IS NOT NULL UNION ALL SELECT u, sg, 0.8 FROM rq WHERE sg IS NOT NULL UNION ALL SELECT u, 'studio:' || replace(lower(st), '#', ' '), 8 FROM rq WHERE st IS NOT NULL
+  UNION ALL SELECT u, 'staff:' || sf, 8 FROM rq WHERE sf IS NOT NULL UNION ALL SELECT u, t, 1.2 FROM ts),
+bc AS (SELECT u, 'studio:' || replace(lower(st), '#', ' ') AS f, 8.0::DOUBLE AS w FROM rq WHERE st IS NOT NULL UNION ALL SELECT u, r || ':' || sf, 4 FROM rq, (SELECT unnest(['director', 'original creator', 'creator', 'series composition', 'script', 'music', 'character design', 'creator', 'producer']) AS r) WHERE sf IS NOT NULL),
+pm AS (SELECT u, f, sum(w) AS w FROM (SELECT u, f, w FROM li JOIN mv USING (i) UNION ALL SELECT u, f, w * coalesce(idf, 1) FROM bm LEFT JOIN mi USING (f)) GROUP BY u, f), pc AS (SELECT u, f, sum(w) AS w FROM (SELECT u, f, w FROM li JOIN cv USING (i) UNION ALL SELECT u, f, w * coalesce(idf, 1) FROM bc LEFT JOIN ci USING (f)) GROUP BY u, f),
+sm AS (SELECT u, i, greatest(0, least(1, sum(pm.w * mv.w) / any_value(a.n) / any_value(b.n))) AS s FROM pm JOIN mv USING (f) JOIN (SELECT u, sqrt(sum(w * w)) AS n FROM pm GROUP BY u) a USING (u) JOIN (SELECT i, sqrt(sum(w * w)) AS n FROM mv GROUP BY i) b USING (i) GROUP BY u, i),
+sc AS (SELECT u, i, greatest(0, least(1, sum(pc.w * cv.w) / any_value(a.n) / any_value(b.n))) AS s FROM pc JOIN cv USING (f) JOIN (SELECT u, sqrt(sum(w * w)) AS n FROM pc GROUP BY u) a USING (u) JOIN (SELECT i, sqrt(sum(w * w)) AS n FROM cv GROUP BY i) b USING (i) GROUP BY u, i),
+z AS (SELECT u, i, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1) AS z FROM tr WINDOW w AS (PARTITION BY u)), m AS (SELECT i, sqrt(sum(z * z)) AS m FROM z GROUP BY i HAVING sqrt(sum(z * z)) > 1e-8),
+s AS (SELECT a.i AS i, b.i AS j, round(sum(a.z / ma.m * b.z / mb.m), 6) AS s FROM z a JOIN z b ON a.u = b.u AND a.i <> b.i JOIN m ma ON ma.i = a.i JOIN m mb ON mb.i = b.i GROUP BY a.i, b.i), g AS (SELECT i, j, s FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 200),
+v AS (SELECT u, j AS i, sum(CAST(round(s * 1000000) AS BIGINT)) AS v FROM li JOIN g ON li.i = g.i GROUP BY u, j), co AS (SELECT u, i, v / max(v) OVER (PARTITION BY u) AS s FROM v),
+it AS (SELECT c.*, ln(1 + coalesce(members, 0)) / ln(1 + max(members) OVER ()) AS m, CASE WHEN pop IS NULL THEN 0 ELSE 1 - ln(1 + pop) / ln(1 + max(pop) OVER ()) END AS pp, avg(score / 10) OVER () AS gm, quality / 10 AS bayes FROM c LEFT JOIN ob USING (i) LEFT JOIN po USING (i)),
+qu AS (SELECT it.*, 0.7::DOUBLE * (gm * (1 - m / (m + 0.35::DOUBLE)) + score / 10 * m / (m + 0.35::DOUBLE)) + 0.18::DOUBLE * m + 0.12::DOUBLE * pp AS own, 0.7::DOUBLE * m + 0.3::DOUBLE * pp AS fame FROM it),
+he AS (SELECT rq.*, EXISTS (SELECT 1 FROM li WHERE li.u = rq.u) AS liked FROM rq),
+hh AS (SELECT *, liked OR sg IS NOT NULL OR st IS NOT NULL OR sf IS NOT NULL AS saved, (SELECT count(*) FROM ts WHERE ts.u = he.u AND t NOT IN ({_GENERIC_SQL}) AND t IS DISTINCT FROM g AND t IS DISTINCT FROM ex) > 0 AS says FROM he),
+lt AS (SELECT li.u, c.ty, c.st, li.i FROM li JOIN c USING (i)),
+fi AS (SELECT hh.*, qu.i, qu.ty, qu.st AS item_st, coalesce(0.65::DOUBLE * greatest(0, least(1, own)) + 0.35::DOUBLE * bayes, greatest(0, least(1, own))) AS quality, fame, coalesce(sm.s, 0) AS metadata, coalesce(sc.s, 0) AS creator, coalesce(co.s, 0) AS collaborative
+  FROM hh CROSS JOIN qu LEFT JOIN sm ON sm.u = hh.u AND sm.i = qu.i LEFT JOIN sc ON sc.u = hh.u AND sc.i = qu.i LEFT JOIN co ON co.u = hh.u AND co.i = qu.i),
+cl AS (SELECT li.u, p, count(*) AS n FROM li JOIN pe USING (i) WHERE p % 3 < 2 GROUP BY li.u, p), cs AS (SELECT u, i, sum(n) AS n FROM cl JOIN pe USING (p) GROUP BY u, i),
+n AS (SELECT u, count(*) AS n FROM lt GROUP BY u), nt AS (SELECT u, ty, count(*) AS n FROM lt GROUP BY u, ty), ns AS (SELECT u, st, count(*) AS n FROM lt GROUP BY u, st),
+x AS (SELECT fi.*, CASE WHEN ex = fi.ty THEN 0 ELSE least(1, 0.3::DOUBLE * CASE WHEN sg = fi.ty THEN 1 ELSE 0 END + 0.28::DOUBLE * coalesce(nt.n / n.n, 0) + 0.12::DOUBLE * least(coalesce(ns.n, 0), 2) / 2 + 0.12::DOUBLE * least(coalesce(cs.n, 0), 2) / 2 + CASE WHEN nt.n > 0 THEN 0.08::DOUBLE ELSE 0 END) END AS session,
+  CASE nov WHEN 'less_famous' THEN 1 - fame WHEN 'mainstream' THEN fame ELSE 0 END AS novelty, EXISTS (SELECT 1 FROM pm WHERE pm.u = fi.u) AS am, EXISTS (SELECT 1 FROM pc WHERE pc.u = fi.u) AS ac, EXISTS (SELECT 1 FROM v WHERE v.u = fi.u) AS av
+  FROM fi LEFT JOIN n ON n.u = fi.u LEFT JOIN nt ON nt.u = fi.u AND nt.ty = fi.ty LEFT JOIN ns ON ns.u = fi.u AND ns.st = fi.item_st LEFT JOIN cs ON cs.u = fi.u AND cs.i = fi.i),
+y AS (SELECT *, saved OR says OR nov <> 'neutral' AS personal, CASE WHEN am THEN 0.16::DOUBLE ELSE 0 END AS wm, CASE WHEN ac THEN 0.05::DOUBLE ELSE 0 END AS wc, CASE WHEN av THEN 0.22::DOUBLE ELSE 0 END AS wv, CASE WHEN saved THEN 0.05::DOUBLE ELSE 0 END AS ws, CASE WHEN nov <> 'neutral' THEN 0.03::DOUBLE ELSE 0 END AS wn FROM x)
+SELECT u AS user_id, i AS item_id, round(metadata, 5) AS metadata, round(creator, 5) AS creator, round(collaborative, 5) AS collaborative, round(quality, 5) AS quality, round(session, 5) AS session, round(novelty, 5) AS novelty, personal,
+  round(CASE WHEN personal THEN (wm * metadata + wc * creator + wv * collaborative + 0.13::DOUBLE * quality + ws * session + wn * novelty) / (wm + wc + wv + 0.13::DOUBLE + ws + wn) ELSE quality END, 5) AS total FROM y""",
+}

@@ -33,4 +33,4 @@ def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 _ALL = SQL | sqlmore.SQL
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(_portable(v)) for k, v in _ALL.items()} | text.QUERIES | models.QUERIES | catalogue.QUERIES | reranking.QUERIES | hybrid.QUERIES | fusion.QUERIES | warp.QUERIES | requests.QUERIES | franchise.QUERIES | holdout.QUERIES | fastpath.QUERIES
-ORACLES: dict[str, str] = {k: _portable(v, oracle=True) for k, v in _ALL.items()} | text.ORACLES | models.ORACLES | catalogue.ORACLES | reranking.ORACLES | requests.ORACLES
+ORACLES: dict[str, str] = {k: _portable(v, oracle=True) for k, v in _ALL.items()} | text.ORACLES | models.ORACLES | catalogue.ORACLES | reranking.ORACLES | requests.ORACLES | hybrid.ORACLES
