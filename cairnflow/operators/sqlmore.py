@@ -5,7 +5,7 @@ fixed number of rows. People are suppliers, who belong to the items that they su
 
 from __future__ import annotations
 
-from ..plans.views import CATALOG, METRICS, RATINGS, SPLIT, STATS, TOP10
+from ..plans.views import CATALOG, METRICS, QUALITY10, RATINGS, SPLIT, STATS, TOP10, metrics
 
 R, C, RC = f"WITH {RATINGS}", f"WITH {CATALOG}", f"WITH {RATINGS}, {CATALOG}"
 RS, RST, RSTT = f"WITH {RATINGS}, {SPLIT}", f"WITH {RATINGS}, {SPLIT}, {STATS}", f"WITH {RATINGS}, {SPLIT}, {STATS}, {TOP10}"
@@ -53,7 +53,7 @@ SQL: dict[str, str] = {
     "common_features": f"{C}, {_FEATURES} SELECT feature, w, place FROM (SELECT feature, sum(w) AS w, row_number() OVER (ORDER BY sum(w) DESC, feature) AS place FROM feats GROUP BY feature) x WHERE place <= 384",
     "entity_index": "WITH e AS (SELECT 'person' AS kind, lower(replace(s_name, '#', ' ')) AS key, CAST(s_suppkey AS BIGINT) AS id FROM supplier UNION ALL SELECT 'place', lower(n_name), CAST(n_nationkey AS BIGINT) FROM nation UNION ALL SELECT 'place', lower(r_name), NULL FROM region UNION ALL SELECT 'studio', lower(p_brand), NULL FROM part) SELECT kind, key, count(*) AS mentions, count(DISTINCT id) AS ids, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM e GROUP BY kind, key",
     "people_index": f"WITH {_CAST} SELECT p.person_id, lower(replace(s.s_name, '#', ' ')) AS name, count(DISTINCT p.item_id) AS items, min(p.item_id) AS first_item FROM people p JOIN supplier s ON p.person_id = s.s_suppkey GROUP BY p.person_id, lower(replace(s.s_name, '#', ' '))",
-    "comparison_plan": "WITH m AS (SELECT 1 AS i, 'popularity' AS model UNION ALL SELECT 2, 'quality' UNION ALL SELECT 3, 'als' UNION ALL SELECT 4, 'hybrid') SELECT a.model AS base, b.model AS challenger FROM m a JOIN m b ON a.i < b.i",
+    "comparison_plan": f"{RSTT}, {QUALITY10}, {METRICS}, {metrics('others', 'best')}, m AS (SELECT 1 AS i, 'popularity' AS model, count(*) AS users, avg(ndcg10) AS ndcg, avg(recall10) AS recall FROM metrics UNION ALL SELECT 2, 'quality', count(*), avg(ndcg10), avg(recall10) FROM others) SELECT a.model AS base, b.model AS challenger, a.users, round(b.ndcg - a.ndcg, 6) AS ndcg10, round(b.recall - a.recall, 6) AS recall10 FROM m a JOIN m b ON a.i < b.i AND a.users = b.users",
     "item_features": f"{C}, rare AS (SELECT studio, count(*) AS n FROM catalog GROUP BY studio), f AS (SELECT item_id, concat('item:', CAST(item_id AS STRING)) AS token FROM catalog UNION ALL SELECT c.item_id, CASE WHEN r.n < 75 THEN 'studio:other' ELSE concat('studio:', c.studio) END FROM catalog c JOIN rare r ON c.studio = r.studio UNION ALL SELECT item_id, concat('type:', type) FROM catalog) SELECT item_id, token, round(1e0 / count(*) OVER (PARTITION BY item_id), 6) AS w FROM f",
     # evaluation arms
     "list_composition": f"{RSTT}, {CATALOG} SELECT CASE WHEN s.fold = 'test' THEN 'test positive' WHEN r.item_id IS NOT NULL THEN 'rated' ELSE 'unrated' END AS kind, count(*) AS n, round(avg(t.rank * 1e0), 6) AS mean_rank FROM top t LEFT JOIN ratings r ON r.user_id = t.user_id AND r.item_id = t.item_id LEFT JOIN split s ON s.user_id = t.user_id AND s.item_id = t.item_id GROUP BY CASE WHEN s.fold = 'test' THEN 'test positive' WHEN r.item_id IS NOT NULL THEN 'rated' ELSE 'unrated' END",

@@ -45,9 +45,9 @@ SQL: dict[str, str] = {
     "dense_index": f"{R} SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM ratings) i",
     "popularity_rank": f"{RST} SELECT item_id, pop_rank FROM ranked",
     "popularity_bucket": f"{RST} SELECT item_id, pop_rank, bucket FROM bucketed",
-    "normalized_popularity": f"{RST} SELECT item_id, round(ln(1 + positives) / ln(1 + max(positives) OVER ()), 6) AS popularity FROM stats",
+    "normalized_popularity": f"{RST}, peak AS (SELECT max(positives) AS peak FROM stats) SELECT item_id, round(ln(1 + positives) / ln(1 + peak), 6) AS popularity FROM stats, peak",
     "quality_bonus": f"{_MEMBERS} SELECT item_id, round(7e-1 * (members * coalesce(mean, 0e0) + 50 * 55e-1) / (members + 50) / 10 + 18e-2 * ln(1 + members) / ln(1 + max(members) OVER ()) + 12e-2 * (1 - (row_number() OVER (ORDER BY members DESC, item_id) - 1) * 1e0 / count(*) OVER ()), 6) AS bonus FROM items",
-    "novelty_score": f"{_MEMBERS}, t AS (SELECT sum(members) + count(*) AS total FROM items) SELECT item_id, round(-log2((members + 1) * 1e0 / total), 6) AS novelty, round(1 - ln(1 + members) / ln(1 + max(members) OVER ()), 6) AS less_famous FROM items, t",
+    "novelty_score": f"{_MEMBERS}, t AS (SELECT sum(members) + count(*) AS total, max(members) AS peak FROM items) SELECT item_id, round(-log2((members + 1) * 1e0 / total), 6) AS novelty, round(1 - ln(1 + members) / ln(1 + peak), 6) AS less_famous FROM items, t",
     # catalogue queries
     "catalog_facets": f"{C} SELECT type, count(*) AS n, count(DISTINCT studio) AS studios, min(year) AS first_year, max(year) AS last_year, min_by(item_id, item_id) AS cover FROM catalog GROUP BY type",
     "catalog_order": f"{_MEMBERS} SELECT item_id, row_number() OVER (ORDER BY mean IS NULL, mean DESC, score DESC, members DESC, item_id) AS place FROM items",
