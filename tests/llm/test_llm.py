@@ -183,6 +183,17 @@ def test_lines_of_few_letters_against_all_pairs(spark):
     held_against_brute_force(spark, rows, hot=3)  # every key of over three lines is dealt to pair tasks
 
 
+def test_a_group_of_near_copies_makes_rows_in_proportion_to_it(spark):
+    base = "the quick brown fox jumps over the lazy dog while it rains"
+    letters = [chr(97 + i) for i in range(26)]
+    lines = [f"{base} {x}{y}" for x in letters for y in letters][:240] + [f"{x}{base[:-1]}{y}" for x in letters[:6] for y in letters[:6]]
+    n, rows = len(lines), [(i, x) for i, x in enumerate(lines)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert linededup.met_lines(texts, linededup.TAU, linededup.MIN_CHARS, linededup.HOT).count() < 20 * n  # pairs would be n * n / 2
+    held_against_brute_force(spark, rows)
+    held_against_brute_force(spark, rows[:120], hot=50)
+
+
 def test_lines_belong_to_rows_not_to_ids(spark):
     a, b, c = "a line that stands in more than one row", "another text under the same id as that", "c"
     rows = [(0, a), (1, a), (1, b), (1, a), (None, a), (None, b), (None, f"{c}\n{a}"), (2, None), (2, ""), (3, b + "\n" + c)]
