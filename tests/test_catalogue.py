@@ -46,6 +46,13 @@ def test_labels(spark):
     assert one(spark, L.decode_cursor(cursor)["mark"], L.decode_cursor(cursor)["offset"], L.decode_cursor(lit("nonsense")), L.decode_cursor(L.encode_cursor(lit(mark), lit(-1)))) == (mark, 40, None, None)
 
 
+def test_cursors_of_large_event_ids_come_back(spark, tmp_path):
+    ids = [0, 100_000, 100_001, 2**40]
+    spark.createDataFrame([(i, "view", 7) for i in ids], "event_id long, event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.cursors(spark, str(tmp_path)).collect()
+    assert sorted(r["offset"] for r in got) == ids and all(r.refused and len(r.mark) == 32 for r in got)
+
+
 def test_global_rank_is_the_order(spark):
     rows = spark.createDataFrame([(i, (i * 7919) % 50) for i in range(500)], "id long, x long").repartition(5)
     got = {r.id: (r.place, r.n) for r in global_rank(rows, [F.desc("x"), F.asc("id")], "place", "n").collect()}
