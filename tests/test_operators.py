@@ -136,3 +136,20 @@ def test_limiter_refused_requests_use_no_quota(spark):
     rows = [(1, i, t + timedelta(seconds=s)) for i, s in enumerate((0, 10, 20, 59, 61, 71))]
     got = state.limited(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), 2, 60).orderBy("event_id")
     assert [r.allowed for r in got.collect()] == [True, True, False, False, True, True]
+
+
+def test_best_by_sketch_is_brute_force_in_one_block_and_in_many(spark):
+    r = np.random.default_rng(3)
+    made = lambda: {int(c): round(float(r.normal()), 6) for c in r.choice(models.PROJECTIONS * models.WIDTH, 12, replace=False)}
+    users, items = {u: made() for u in range(30)}, {i: made() for i in range(200)}
+    seen, known = {u: [int(i) for i in r.choice(200, 20)] for u in users}, {i: round(float(r.random()), 3) for i in items}
+    want = set()
+    for u, x in users.items():
+        score = {i: round(sum(v * y[c] for c, v in x.items() if c in y) * known[i], 6) for i, y in items.items() if i not in seen[u] and set(x) & set(y)}
+        want |= {(u, i, s) for i, s in sorted(score.items(), key=lambda z: (-z[1], z[0]))[:5]}
+    profiles = spark.createDataFrame([(u, list(x), list(x.values()), seen[u]) for u, x in users.items()], "user_id long, cells array<int>, values array<double>, seen array<long>")
+    rows = spark.createDataFrame([(i, list(y), list(y.values()), known[i]) for i, y in items.items()], "item_id long, cells array<int>, values array<double>, known double").repartition(3)
+    for block in (4096, 7):
+        got = models.best_by_sketch(profiles, rows, 5, block).orderBy(F.desc("score"), "item_id").collect()
+        first = {u: [(g.item_id, g.score) for g in got if g.user_id == u][:5] for u in users}
+        assert {(u, i, round(s, 6)) for u, x in first.items() for i, s in x} == want
