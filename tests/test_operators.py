@@ -153,3 +153,16 @@ def test_best_by_sketch_is_brute_force_in_one_block_and_in_many(spark):
         got = models.best_by_sketch(profiles, rows, 5, block).orderBy(F.desc("score"), "item_id").collect()
         first = {u: [(g.item_id, g.score) for g in got if g.user_id == u][:5] for u in users}
         assert {(u, i, round(s, 6)) for u, x in first.items() for i, s in x} == want
+
+
+def test_als_lets_go_of_every_iteration(spark, monkeypatch):
+    asked = []
+
+    class Noted(models.ALS):
+        def fit(self, rows):
+            asked.append(self.getCheckpointInterval())
+            return super().fit(rows)
+
+    monkeypatch.setattr(models, "ALS", Noted)
+    likes = spark.createDataFrame([(u, i) for u in range(12) for i in range(8) if (u + i) % 3], "user_id long, item_id long")
+    assert models.train_als(likes, 2, 4).count() == 8 and asked == [1]
