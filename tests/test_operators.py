@@ -166,3 +166,21 @@ def test_als_lets_go_of_every_iteration(spark, monkeypatch):
     monkeypatch.setattr(models, "ALS", Noted)
     likes = spark.createDataFrame([(u, i) for u in range(12) for i in range(8) if (u + i) % 3], "user_id long, item_id long")
     assert models.train_als(likes, 2, 4).count() == 8 and asked == [1]
+
+
+def test_fold_in_by_blocks_of_users_is_the_closed_form(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    y = {i: r.normal(size=6) for i in range(40)}
+    seen = {u: sorted({int(i) for i in r.choice(40, 7)}) for u in range(50)}
+    asked = spark.createDataFrame([(u, s) for u, s in seen.items()], "user_id long, seen array<long>").repartition(3)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in y.items()], "item_id long, vec array<double>")
+    want = {}
+    for u, s in seen.items():
+        mine, every = np.array([y[i] for i in s]), np.array(list(y.values()))
+        x = np.linalg.solve(every.T @ every + models.ALPHA * mine.T @ mine + models.REG * np.eye(6), models.ALPHA * mine.sum(0))
+        score = {i: round(float(x @ v), 9) for i, v in y.items() if i not in s}
+        want[u] = [i for i, _ in sorted(score.items(), key=lambda z: (-z[1], z[0]))[:4]]
+    for most in (models.MOST_JOINED, 1500):  # one block, and some
+        monkeypatch.setattr(models, "MOST_JOINED", most)
+        got = models.fold_in(asked, items, 4).orderBy("user_id", "rank").collect()
+        assert {u: [g.item_id for g in got if g.user_id == u] for u in seen} == want
