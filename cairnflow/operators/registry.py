@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.views import run_sql
-from . import catalogue, fastpath, franchise, fusion, holdout, hybrid, models, requests, reranking, sqlmore, text, warp
+from . import catalogue, fastpath, franchise, fusion, holdout, hybrid, models, neighbours, requests, reranking, sqlmore, text, warp
 from .sqlops import SQL
 
 #: what the two engines spell differently: (in the text, for Spark, for the oracle)
@@ -32,5 +32,5 @@ def _sql(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _ALL = SQL | sqlmore.SQL
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(_portable(v)) for k, v in _ALL.items()} | text.QUERIES | models.QUERIES | catalogue.QUERIES | reranking.QUERIES | hybrid.QUERIES | fusion.QUERIES | warp.QUERIES | requests.QUERIES | franchise.QUERIES | holdout.QUERIES | fastpath.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(_portable(v)) for k, v in _ALL.items()} | neighbours.QUERIES | text.QUERIES | models.QUERIES | catalogue.QUERIES | reranking.QUERIES | hybrid.QUERIES | fusion.QUERIES | warp.QUERIES | requests.QUERIES | franchise.QUERIES | holdout.QUERIES | fastpath.QUERIES
 ORACLES: dict[str, str] = {k: _portable(v, oracle=True) for k, v in _ALL.items()} | text.ORACLES | models.ORACLES | catalogue.ORACLES | reranking.ORACLES | requests.ORACLES | hybrid.ORACLES
