@@ -29,6 +29,12 @@ def test_oracle(spark, name):
     assert plain(got.collect(), [got.columns.index(c) for c in cols]) == plain(want, [names.index(c) for c in cols])
 
 
+@pytest.mark.parametrize("expected", [1, 12])
+def test_random_model_is_whole_when_few_lie_below_the_bound(spark, monkeypatch, expected):
+    monkeypatch.setattr(catalogue, "EXPECTED", expected)
+    test_oracle(spark, "random_model")
+
+
 def test_labels(spark):
     lit = F.lit
     assert one(spark, *L.split_category(lit("Theme::Isekai Isekai")), *L.split_category(lit("Action Action")), L.metadata_token(lit("theme"), lit("Slice of Life")), L.metadata_token(lit("x"), lit("--"))) == ("theme", "Isekai", "genre", "Action", "theme_slice_of_life", "")
