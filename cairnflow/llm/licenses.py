@@ -4,10 +4,10 @@ A paragraph is a line; where no line alone is identified, a line joined with the
 and counts for its first line. "Licence" is read as "license". Features are the words, word pairs and triples of the templates: the
 canonical texts below, and phrases made of a licence's names and what stands before them. A paragraph without any of gates()
 can't hold CONFIRM of a template's features, so it is passed over early and nothing is lost. A sparse (L1) multinomial logistic regression
-is trained on the templates, parts of the canonical texts, sentences that name a licence's words without granting one, and a bounded
-sample of at most BACKGROUND different lines of 1 to LONGEST code points, half that pass the gate, labelled unknown unless they hold
-most of a template. The cut on the best family's probability is at least 0.5 and above what CALIBRATED of the unknown lines of the sample
-reach. A prediction counts if the paragraph holds at least CONFIRM of a template's features, and the template that it holds most of
+is trained on the templates, parts of the canonical texts, sentences that name a licence's words without granting one, and all different
+lines that aren't empty, labelled unknown unless they pass the gate and hold most of a template. Lines with equal features are one row with their
+number. Those that pass the gate and those that don't weigh as much as BACKGROUND / 2 lines at most, each line of a half the same: the few that pass aren't
+drowned. The cut on the best family's probability is at least 0.5, and at most 1 - CALIBRATED of the unknown lines' weight lies above it. A prediction counts if the paragraph holds at least CONFIRM of a template's features, and the template that it holds most of
 (then the one with the most features) is of the predicted family: so versions are told apart.
 
 Null and empty texts have no paragraphs. Very long texts and lines are judged whole. Rows are told apart by (doc_id, row key), so a
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import durable, hash_sample, row_key
+from .shared import durable, row_key
 
-BACKGROUND, CALIBRATED, CONFIRM, LONGEST, JOINED = 4000, 0.999, 0.8, 2000, 3
+BACKGROUND, CALIBRATED, CONFIRM, JOINED, BINS = 4000, 0.999, 0.8, 3, 1024
 #: Canonical texts by family.
 TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -125,14 +125,15 @@ def _let(value: Column, of) -> Column:
 def grams(text: Column) -> Column:
     """Distinct words, word pairs and triples of a text that the vocabulary has; linear in the text's length."""
     words = F.regexp_extract_all(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), F.lit("[a-z0-9]+"), F.lit(0))
-    known = F.split(F.lit("|".join(_vocabulary())), "[|]")
+    single = sorted({w for g in _vocabulary() for w in g.split()})
 
-    def of(w: Column) -> Column:
-        pairs = F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-        triples = F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
-        return F.array_intersect(F.concat(w, pairs, triples), known)
+    def of(w: Column) -> Column:  # words that no template has are null, so that nothing is joined with them
+        two = lambda x, i: x.isNotNull() & F.get(w, i + 1).isNotNull()
+        pairs = F.transform(w, lambda x, i: F.when(two(x, i), F.concat_ws(" ", x, F.get(w, i + 1))))
+        triples = F.transform(w, lambda x, i: F.when(two(x, i) & F.get(w, i + 2).isNotNull(), F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
+        return F.array_distinct(F.filter(F.concat(w, pairs, triples), lambda x: x.isin(_vocabulary())))
 
-    return _let(words, of)
+    return _let(F.transform(words, lambda x: F.when(x.isin(single), x)), of)
 
 
 def _passes(text: Column) -> Column:
@@ -153,6 +154,32 @@ def confirmed(rows: DataFrame) -> DataFrame:
     return held.groupBy("key").agg(F.max(F.struct("share", "n", "family")).alias("x")).select("key", "x.share", F.col("x.family").alias("nearest"))
 
 
+def background(docs: DataFrame) -> DataFrame:
+    """(gated, grams, n): every different line of docs that isn't empty, those with equal features counted together. Lines with equal
+    features are told apart by 128 bits of a hash, so texts aren't shuffled."""
+    lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("text")).where("text <> ''")
+    lines = lines.select(_passes(F.col("text")).alias("gated"), F.sort_array(grams(F.col("text"))).alias("grams"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    return lines.distinct().groupBy("gated", "grams").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weight_cut(rows: DataFrame, share: float, least: float) -> float:
+    """The smallest p of rows (p, weight), p up to 1, such that at most 1 - share of all weight lies above it; at least `least`. Exact: a histogram
+    tells the bin that holds it, the next one is of that bin, until a bin holds one value."""
+    allowed, above, low, high = (1 - share) * (rows.agg(F.sum("weight")).first()[0] or 0.0), 0.0, least, 1.0
+    rows = durable(rows.where(F.col("p") > least).select("p", "weight"))
+    while True:
+        place = F.least(F.floor((F.col("p") - low) / ((high - low) / BINS)), F.lit(BINS - 1)).alias("bin")
+        for x in rows.where(F.col("p").between(low, high)).groupBy(place).agg(F.sum("weight").alias("w"), F.min("p").alias("low"), F.max("p").alias("high")).orderBy(F.desc("bin")).collect():
+            if above + x.w > allowed:
+                break
+            above += x.w
+        else:
+            return low
+        if x.low == x.high:
+            return x.low
+        low, high = x.low, x.high
+
+
 class Classifier:
     def __init__(self, docs: DataFrame) -> None:
         from pyspark.ml.classification import LogisticRegression
@@ -163,15 +190,15 @@ class Classifier:
         self.vectorizer = CountVectorizerModel.from_vocabulary(_vocabulary(), inputCol="grams", outputCol="features", minTF=1.0)
         number = F.array_position(F.array(*map(F.lit, self.families)), F.col("family")) - 1
         known = durable(_table(docs.sparkSession, [{"family": f, "text": t} for f, t in phrases()], "family: string, text: string").select("family", grams(F.col("text")).alias("grams"), F.lit(1.0).alias("weight")))
-        lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("text")).where(F.length("text").between(1, LONGEST))
-        sample = durable(hash_sample(lines, _passes(F.col("text")), BACKGROUND // 2).select(F.monotonically_increasing_id().alias("key"), grams(F.col("text")).alias("grams")))
-        sample = sample.join(confirmed(sample), "key", "left").select("grams", F.when(F.col("share") >= CONFIRM, F.col("nearest")).otherwise(UNKNOWN).alias("family"), F.lit(0.05).alias("weight"))
-        sample = durable(sample)
-        rows = known.unionByName(sample).withColumn("label", number.cast("double"))
+        lines = durable(background(docs).withColumn("key", F.monotonically_increasing_id()))
+        number_of = {r.gated: r.n for r in lines.groupBy("gated").agg(F.sum("n").alias("n")).collect()}
+        each = F.when(F.col("gated"), min(1.0, BACKGROUND / 2 / number_of.get(True, 1))).otherwise(min(1.0, BACKGROUND / 2 / number_of.get(False, 1)))
+        lines = lines.join(confirmed(lines.where("gated")), "key", "left").select("grams", F.when(F.col("share") >= CONFIRM, F.col("nearest")).otherwise(UNKNOWN).alias("family"), (0.05 * each * F.col("n")).alias("weight"))
+        lines = durable(lines.repartition(max(lines.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)))
+        rows = known.unionByName(lines).withColumn("label", number.cast("double"))
         self.model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0003, maxIter=60, weightCol="weight", standardization=False).fit(self.vectorizer.transform(rows))
         self.probability = vector_to_array
-        scored = self.scored(sample.where(F.col("family") == UNKNOWN))
-        self.cut = max(0.5, scored.agg(F.percentile("p", CALIBRATED)).first()[0] or 0.5)
+        self.cut = weight_cut(self.scored(lines.where(F.col("family") == UNKNOWN)), CALIBRATED, 0.5)
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """rows (grams, ...) with the best family other than unknown and its probability."""
